@@ -79,11 +79,11 @@ def dedupe_last(spark, folder):
 
 
 @query("dedupe_first", f"""WITH ticks AS ({sql.TICKS['lineitem']})
-SELECT series_id, {sql_time()}, {sql_rounded(8, 'p').replace('"p"', 'arg_min(price, seq)', 1)}, min(seq) AS seq
+SELECT series_id, {sql_time()}, {sql_rounded(8, 'p').replace('"p"', 'arg_min(price, seq)', 1)}
 FROM ticks GROUP BY series_id, ticks.ts""")
 def dedupe_first(spark, folder):
     return B.dedupe_time(R.ticks_lineitem(spark, folder), "seq", "first").select(
-        "series_id", time_text().alias("ts"), *rounded(8, "price"), "seq").withColumnRenamed("price", "p")
+        "series_id", time_text().alias("ts"), *rounded(8, "price")).withColumnRenamed("price", "p")
 
 
 @query("clip_time_range", f"""WITH {sql.bars('events', 30)}

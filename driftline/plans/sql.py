@@ -8,7 +8,7 @@ TICKS = {
               "1.0::DOUBLE AS qty, o_orderkey AS seq FROM orders",
     "lineitem": "SELECT l_returnflag || l_linestatus AS series_id, l_shipdate AS ts, "
                 "l_extendedprice / l_quantity AS price, l_quantity AS qty, "
-                "l_orderkey * 8 + l_linenumber AS seq FROM lineitem",
+                "(l_orderkey * 8 + l_linenumber)::HUGEINT * 10000000000 + l_partkey AS seq FROM lineitem",
 }
 
 

@@ -159,7 +159,9 @@ def ticks_lineitem(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+        # Line numbers repeat within an order; the part number settles the order.
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(25,0)") * F.lit(10_000_000_000)
+         + F.col("l_partkey")).cast("decimal(38,0)").alias("seq"))
 
 
 def as_bars(ticks: DataFrame) -> DataFrame:
