@@ -122,6 +122,8 @@ def position_bars(bars: DataFrame, rows_per_day: int = 288, keys=("series_id",))
     """`idx` for a bar table: one row per key and timestamp, at most `rows_per_day` a day."""
     if "idx" in bars.columns:
         return bars
+    # Numbering reads the table twice; bars are far fewer than the ticks behind them.
+    bars = stage(bars, "bars")
     return with_position(bars, keys, ["ts"], day_bucket(rows_per_day))
 
 
@@ -226,6 +228,7 @@ def ranked(df: DataFrame, keys, value: str, tie: str, tie_bucket: Column,
     neither a long series nor a frequent value ends up in one task.
     """
     keys = list(keys)
+    df = stage(df, "ranked")          # read three times below
     probs = [i / cuts for i in range(1, cuts)]
     splits = df.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(
@@ -263,8 +266,8 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, cuts: int = 25
     keys = list(keys)
     grain = keys or ["_all"]
     counted = df if keys else df.withColumn("_all", F.lit(0))
-    counted = counted.filter(F.col(value).isNotNull()).groupBy(*grain, value).agg(
-        F.count(F.lit(1)).alias("_cnt"))
+    counted = stage(counted.filter(F.col(value).isNotNull()).groupBy(*grain, value).agg(
+        F.count(F.lit(1)).alias("_cnt")), "counted")
     points = [i / cuts for i in range(1, cuts)]
     splits = counted.groupBy(*grain).agg(
         F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(cuts * 20)).alias("_splits"))

@@ -124,14 +124,18 @@ def add_atr(df: DataFrame, w, n: int, out: str = "atr_14") -> DataFrame:
     return df.withColumn(out, ewma("_tr", 1 / n, w))
 
 
-def add_adx(df: DataFrame, w, n: int, out: str = "adx_14") -> DataFrame:
+def add_adx(df: DataFrame, w, n: int, out: str = "adx_14", tr_average: str | None = None) -> DataFrame:
+    """Average directional index; `tr_average` names an average true range already there."""
     up, down = F.col("high") - F.col("_ph"), F.col("_pl") - F.col("low")
     df = df.withColumns({
         "_tr": true_range_of("high", "low", "_pc"),
         "_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
         "_mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
     })
-    df = df.withColumns({f"_e{x}": ewma(f"_{x}", 1 / n, w) for x in ("tr", "pdm", "mdm")})
+    averages = {f"_e{x}": ewma(f"_{x}", 1 / n, w) for x in ("tr", "pdm", "mdm")}
+    if tr_average:
+        averages["_etr"] = F.col(tr_average)
+    df = df.withColumns(averages)
     pdi = 100.0 * F.col("_epdm") / (F.col("_etr") + EPS)
     mdi = 100.0 * F.col("_emdm") / (F.col("_etr") + EPS)
     df = df.withColumn("_dx", 100.0 * F.abs(pdi - mdi) / ((pdi + mdi) + EPS))
@@ -162,6 +166,16 @@ def opening_shrink(df: DataFrame, columns=OPENING_COLUMNS, scope: str = "day", k
     return out.withColumns({c: F.col(c).cast("double") * scale for c in columns if c in df.columns}).drop("_factor")
 
 
+def add_opening_shrink(df: DataFrame, columns=OPENING_COLUMNS, keys=("series_id",)) -> DataFrame:
+    """The day-wise scaling on opened blocks: no join, as the halo holds the day's start."""
+    day = block_window(keys, "_day").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_day": day_of("ts"), "_opens": is_opening_bar().cast("int")})
+    df = df.withColumn("_nth", F.when(F.col("_opens") == 1, F.sum("_opens").over(day)))
+    factors = F.array(*[F.lit(v) for v in OPENING_FACTORS])
+    scale = F.coalesce(F.get(factors, F.col("_nth") - 1), F.lit(1.0))
+    return df.withColumns({c: F.col(c).cast("double") * scale for c in columns if c in df.columns})
+
+
 # -- the feature table -----------------------------------------------------
 
 def feature_halo(cfg: RunConfig) -> int:
@@ -182,15 +196,15 @@ def make_features(bars: DataFrame, cfg: RunConfig = RunConfig(), tf: str = "5m",
     w = block_window()
     df = add_returns(add_lags(opened, w), w)
     df = add_rolling(df, w, cfg)
-    df = add_adx(add_atr(add_rsi(df, w, cfg.rsi_n), w, cfg.atr_n), w, cfg.adx_n)
+    df = add_adx(add_atr(add_rsi(df, w, cfg.rsi_n), w, cfg.atr_n), w, cfg.adx_n,
+                 tr_average="atr_14" if cfg.atr_n == cfg.adx_n else None)
     df = df.withColumn("atr_pct_14", ratio("atr_14", F.col("close") + EPS))
-    df = close_blocks(df)
-    if tf != "1d":                    # daily bars carry no time of day
-        df = opening_shrink(df, scope=cfg.opening_scope)
+    if tf == "1d":                    # daily bars carry no time of day
+        df = close_blocks(df)
+    elif cfg.opening_scope == "day":
+        df = close_blocks(add_opening_shrink(df))
+    else:
+        df = opening_shrink(close_blocks(df), scope=cfg.opening_scope)
     df = df.select("series_id", "ts", "idx", *BAR_COLUMNS, *[finite(c).alias(c) for c in INDICATORS],
                    F.lit(tf).alias("tf"))
     return df.dropna(subset=list(INDICATORS)) if complete else df
-
-
-def attach_per_series(df: DataFrame, values: DataFrame) -> DataFrame:
-    return attach(df, values, ["series_id"])
