@@ -113,4 +113,5 @@ def fold_number(path) -> Column:
 
 
 def fold_name(n) -> Column:
-    return F.format_string("fold_%03d", _c(n).cast("int"))
+    n = _c(n).cast("int")
+    return F.when(n.isNotNull(), F.format_string("fold_%03d", n))

@@ -68,7 +68,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 # -- joining per-key values ------------------------------------------------
 
-def attach(df: DataFrame, small: DataFrame, keys, how: str = "inner", salt: int = SALT) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, keys, how: str = "inner", salt: int = SALT,
+           salt_on=None) -> DataFrame:
     """Join one small row per key onto many rows.
 
     No broadcast is forced: adaptive execution broadcasts `small` when its measured
@@ -79,7 +80,8 @@ def attach(df: DataFrame, small: DataFrame, keys, how: str = "inner", salt: int
     if not keys:
         keys = ["_all"]
         df, small = df.withColumn("_all", F.lit(0)), small.withColumn("_all", F.lit(0))
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*_salting_columns(df)), F.lit(salt)).cast("int"))
+    spread = list(salt_on) if salt_on else _salting_columns(df)
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return left.join(right, keys + ["_salt"], how).drop("_salt", "_all")
 
