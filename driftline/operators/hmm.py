@@ -322,6 +322,13 @@ def _with_parameters(chunks: DataFrame, params: DataFrame) -> DataFrame:
     return attach(chunks.select("seq", "blk", "x"), small, ["seq"], salt_on=["blk"])
 
 
+def _bounded_work(chunks: DataFrame, params: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Chunks with parameters and boundaries; the two small tables meet first, so the
+    rows of the sequences move at most once."""
+    small = bounds.join(params.select("model_id", "start", "trans", "means", "covars"), "model_id")
+    return chunks.select("seq", "blk", "x").join(small, ["seq", "blk"])
+
+
 def _boundary_table(work: DataFrame, k: int, d: int, best: bool) -> DataFrame:
     moved = work.mapInPandas(_transfers(k, d, best), KEY_SCHEMA + ", total array<double>, best array<double>")
     return moved.groupBy("model_id", "seq").applyInPandas(
@@ -344,7 +351,7 @@ def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: Ru
     for _ in range(max_iter or cfg.max_iter):
         work = _with_parameters(chunks, params)
         bounds = _boundary_table(work, k, d, best=False)
-        stats = work.join(bounds.drop("entry", "last"), ["model_id", "seq", "blk"]).mapInPandas(
+        stats = _bounded_work(chunks, params, bounds).mapInPandas(
             _statistics(k, d), "model_id string, stats array<double>")
         parts = stats.select("model_id", F.posexplode("stats").alias("pos", "val"))
         # One number per model and position: as many rows as the model has parameters.
@@ -386,11 +393,12 @@ def align_states(params: DataFrame, k: int, d: int) -> DataFrame:
     return params.mapInPandas(run, PARAMETER_SCHEMA)
 
 
-def segments(df: DataFrame, trade_start: DataFrame | None, warmup: int, keys=("series_id",)) -> DataFrame:
+def segments(df: DataFrame, trade_start: DataFrame | None, warmup, keys=("series_id",)) -> DataFrame:
     """Rows split into history and trade part; `seg` 0 or 1, `own` false for warm-up rows.
 
     The trade part starts `warmup` rows early so that its decoding does not start cold;
-    those copies are not reported.  `trade_start` has the keys and `trade_start`.
+    those copies are not reported.  `trade_start` has the keys and `trade_start`;
+    `warmup` is a number or a column.
     """
     if trade_start is None:
         return df.withColumns({"seg": F.lit(0), "own": F.lit(True)})
@@ -433,7 +441,7 @@ def decode(df: DataFrame, features, params: DataFrame, k: int, keys=("series_id"
                 res["filtered"] = [list(a) for a in alpha]
                 yield res
 
-    done = work.join(bounds, ["model_id", "seq", "blk"]).mapInPandas(
+    done = _bounded_work(chunks, params, bounds).mapInPandas(
         run, KEY_SCHEMA + ", state array<int>, smoothed array<array<double>>, filtered array<array<double>>")
     named = done.join(chunks.drop("x"), ["seq", "blk"])
     rows = named.select(*keys, "seg", "model_id",
