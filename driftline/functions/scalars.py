@@ -15,7 +15,8 @@ def _c(x) -> Column:
 def finite(x) -> Column:
     """NaN and infinities become NULL."""
     x = _c(x).cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+    # NaN sorts above every number, so it fails the comparison as well.
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def ratio(a, b) -> Column:

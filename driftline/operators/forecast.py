@@ -34,8 +34,13 @@ def forecast_features(df: DataFrame, features=FORECAST_FEATURES, keep=()) -> Dat
     absent = [c for c in features if c not in df.columns]
     if absent:
         raise ValueError(f"missing forecast features {absent}")
+    types = dict(df.dtypes)
     others = [c for c in df.columns if c not in features]
-    return df.select(*others, *[coerce_numeric(c).alias(c) for c in features]).dropna(subset=[*features, *keep])
+    out = df.select(*others, *[F.col(c) if types[c] == "double" else F.col(c).try_cast("double").alias(c) for c in features])
+    # One comparison drops NULL, NaN and infinite values alike.
+    for c in features:
+        out = out.filter(F.abs(c) < float("inf"))
+    return out.dropna(subset=list(keep))
 
 
 def last_days_window(df: DataFrame, n: int, keys=("series_id",)) -> DataFrame:

@@ -139,28 +139,31 @@ def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("serie
     return stage(P.path_metrics(rows, "super_state", cfg, keys), "super")
 
 
-def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), parallel: int = 4):
+def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), parallel: int = 4,
+                  pool_series: bool = True):
     """Forecast, gate and trade every run: (statistics, equity, trades, models).
 
-    `table` comes from `label_runs`.  Statistics have a row for every run.
+    `table` comes from `label_runs`.  Statistics have a row for every run.  Forests,
+    good labels and thresholds belong to a cycle and run; with `pool_series` the series
+    of a run share them, so the number of forests does not grow with the number of
+    series.  For a single series both settings are the same.
     """
     keys = list(RUN)
+    group = [k for k in RUN if k != "series_id"] if pool_series else keys
     y = f"y_ret_{cfg.horizon}"
     rows = M.forecast_features(M.forward_label(table, cfg.horizon, y, keys), keep=(y, "super_state"))
     window = runs.select(*RUN, "trade_start", "trade_end")
-    split = stage(M.time_split(rows.drop("trade_start", "trade_end"), window, cfg, rows_per_day=48, keys=keys), "split")
+    split = M.time_split(rows.drop("trade_start", "trade_end"), window, cfg, rows_per_day=48, keys=keys)
+    split = stage(split.withColumn("model_key", F.concat_ws("|", *group, "super_state")), "split")
     train, validation = split.filter("split = 'train'"), split.filter("split = 'validation'")
 
-    # Labels of different runs are different models.
-    label = F.concat_ws("|", *keys, "super_state")
-    models = M.fit_per_state(train.withColumn("model_key", label), y, cfg, state="model_key", parallel=parallel)
-    checked = M.predict_per_state(validation.withColumn("model_key", label), models, state="model_key")
-    good = stage(M.select_states(M.regression_metrics(checked, y, "pred", [*keys, "super_state"]), cfg), "good")
-    thresholds = G.gate_thresholds(train, good.select(*keys, "super_state"), cfg, keys)
-    trade = stage(G.gate_mask(split.filter("split = 'trade'"), thresholds, keys), "trade")
-    predicted = M.predict_per_state(
-        trade.join(good.select(*keys, "super_state"), [*keys, "super_state"], "left_semi").withColumn("model_key", label),
-        models, state="model_key")
+    models = M.fit_per_state(train, y, cfg, state="model_key", parallel=parallel)
+    checked = M.predict_per_state(validation, models, state="model_key")
+    good = M.select_states(M.regression_metrics(checked, y, "pred", [*group, "super_state"]), cfg)
+    good = stage(good.select(*group, "super_state"), "good")
+    thresholds = G.gate_thresholds(train, good, cfg, group)
+    trade = stage(G.gate_mask(split.filter("split = 'trade'"), thresholds, group), "trade")
+    predicted = M.predict_per_state(trade.join(good, [*group, "super_state"], "left_semi"), models, state="model_key")
     predicted = stage(predicted.select(*keys, "ts", "super_state", "gate_on", "pred"), "predicted")
     bars = trade.select(*keys, "ts", "high", "low", "close", "atr_14")
     # A run without a prediction does not trade.
