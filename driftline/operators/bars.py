@@ -47,6 +47,14 @@ def bar_time(rule: str, ts: str = "ts") -> Column:
     return F.window(F.col(ts) - F.expr("INTERVAL 1 MICROSECOND"), rule).getField("end")
 
 
+def bar_values(order: str = "ts") -> list[Column]:
+    """Aggregates that make one bar of many; `_rows` counts them."""
+    return [
+        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", order).alias("close"), F.sum("volume").alias("volume"), F.count("close").alias("_rows"),
+    ]
+
+
 def resample_ohlcv(bars: DataFrame, rule: str, min_count: int = 1, order: str = "ts",
                    keys=("series_id",), count_name: str | None = None) -> DataFrame:
     """Bars of a coarser grid; bins with fewer than `min_count` rows are left out.
@@ -54,11 +62,7 @@ def resample_ohlcv(bars: DataFrame, rule: str, min_count: int = 1, order: str =
     `order` decides first and last inside a bin.  All aggregates combine before the
     shuffle, so a series with most of the rows costs no more than the others.
     """
-    out = bars.groupBy(*keys, bar_time(rule).alias("_bin")).agg(
-        F.min_by("open", order).alias("open"), F.max("high").alias("high"),
-        F.min("low").alias("low"), F.max_by("close", order).alias("close"),
-        F.sum("volume").alias("volume"), F.count("close").alias("_rows"),
-    )
+    out = bars.groupBy(*keys, bar_time(rule).alias("_bin")).agg(*bar_values(order))
     out = out.dropna(subset=list(BAR_COLUMNS))
     if not is_daily(rule):
         out = out.filter(F.col("_rows") >= min_count)

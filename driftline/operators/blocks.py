@@ -131,11 +131,12 @@ def position_bars(bars: DataFrame, rows_per_day: int = 288, keys=("series_id",))
 
 # -- bounded frames --------------------------------------------------------
 
-def open_blocks(df: DataFrame, before: int = 0, after: int = 0, size: int = BLOCK) -> DataFrame:
+def open_blocks(df: DataFrame, before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
     """Add `_blk`, copying `before`/`after` neighbouring rows into each block.
 
     Copies have `_own` = false; `close_blocks` removes them again.
     """
+    size = size or BLOCK
     if before > size or after > size:
         raise ValueError("a frame may not be longer than a block")
     own = F.expr(f"idx div {size}")
@@ -176,7 +177,7 @@ def last_rows(w, n: int):
 _TOTALS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def carry(df: DataFrame, keys, running: dict, size: int = BLOCK) -> DataFrame:
+def carry(df: DataFrame, keys, running: dict, size: int | None = None) -> DataFrame:
     """Running values along `idx`, for series of any length.
 
     `running` maps an output name to (kind, column); kind is "sum", "max", "min" or
@@ -185,7 +186,7 @@ def carry(df: DataFrame, keys, running: dict, size: int = BLOCK) -> DataFrame:
     """
     keys = list(keys)
     if "_blk" not in df.columns:
-        df = df.withColumn("_blk", F.expr(f"idx div {size}"))
+        df = df.withColumn("_blk", F.expr(f"idx div {size or BLOCK}"))
     df = df.withColumns({f"_in_{n}": c for n, (_, c) in running.items()})
     totals, shifted, local, final = [], {}, {}, {}
     blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..config import BAR_COLUMNS, EPS, OPENING_COLUMNS, OPENING_FACTORS, OPENING_TIMES, RunConfig
 from ..functions import day_of, finite, ratio, safe_log
-from .blocks import BLOCK, attach, block_window, close_blocks, last_rows, open_blocks, position_bars
+from . import blocks
+from .blocks import attach, block_window, close_blocks, last_rows, open_blocks, position_bars
 
 INDICATORS = (
     "ret_1", "log_ret_1", "ma_fast", "ma_slow", "trend_strength", "vol_short", "vol_long",
@@ -186,7 +187,7 @@ def feature_halo(cfg: RunConfig) -> int:
 
 def feature_block(cfg: RunConfig) -> int:
     fastest = 1 / min(cfg.rsi_n, cfg.atr_n, cfg.adx_n)
-    return max(1, min(BLOCK, ewma_block(fastest) - feature_halo(cfg)))
+    return max(1, min(blocks.BLOCK, ewma_block(fastest) - feature_halo(cfg)))
 
 
 def make_features(bars: DataFrame, cfg: RunConfig = RunConfig(), tf: str = "5m",

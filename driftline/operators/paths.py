@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from .blocks import (BLOCK, attach, block_window, carry, close_blocks, last_rows, open_blocks, own_rows, stage,
+from . import blocks
+from .blocks import (attach, block_window, carry, close_blocks, last_rows, open_blocks, own_rows, stage,
                      with_position)
 from .indicators import ewma, ewma_block, memory
 
@@ -66,7 +67,7 @@ def run_averages(runs: DataFrame, state: str, alpha: float, keys=("series_id",))
     keys = list(keys)
     group = keys + [state]
     placed = with_position(runs, group, ["run_start"], F.expr("run_start div 65536"))
-    opened = open_blocks(placed, before=memory(alpha), size=min(BLOCK, ewma_block(alpha) - memory(alpha)))
+    opened = open_blocks(placed, before=memory(alpha), size=min(blocks.BLOCK, ewma_block(alpha) - memory(alpha)))
     w = block_window(group)
     opened = opened.withColumn("_step", F.row_number().over(w) - 1)
     opened = opened.withColumn("after", ewma("len", alpha, w))
@@ -109,9 +110,9 @@ def expected_life_ewma(df: DataFrame, state: str, cfg: RunConfig = RunConfig(),
         runs = stage(run_table(df, state, keys), "runtable")
         priors = run_priors(runs, state, cfg.run_alpha, keys)
         # A run meets its rows in parts of BLOCK rows, however long it is.
-        priors = priors.withColumn("_part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((len - 1) div {BLOCK} as int)"))))
+        priors = priors.withColumn("_part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((len - 1) div {blocks.BLOCK} as int)"))))
         priors = priors.select(*keys, "run_start", "_part", F.col("prior").alias("_prior"))
-        part = F.expr(f"cast((idx - run_start) div {BLOCK} as int)")
+        part = F.expr(f"cast((idx - run_start) div {blocks.BLOCK} as int)")
         rows = rows.withColumn("_part", part).join(priors, keys + ["run_start", "_part"], "left")
     else:
         rows = rows.withColumn("_prior", F.lit(None).cast("double"))

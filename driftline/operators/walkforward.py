@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions import finite, triplet_text
 from .bars import dedupe_time
-from .blocks import (BLOCK, attach, block_window, carry, close_blocks, day_bucket, open_blocks, stage, with_position)
+from . import blocks
+from .blocks import (attach, block_window, carry, close_blocks, day_bucket, open_blocks, stage, with_position)
 from .indicators import ewma, ewma_block, memory
 
 
@@ -73,7 +74,7 @@ def ema_score(candidates: DataFrame, cfg: RunConfig = RunConfig(), cycle: str =
     rows = candidates.withColumn("seed_triplet", triplet_text())
     rows = with_position(rows, keys, [cycle], F.expr(f"{cycle} div 4096"))
     reach = memory(cfg.ema_alpha)
-    opened = open_blocks(rows, before=reach, size=min(BLOCK, ewma_block(cfg.ema_alpha) - reach))
+    opened = open_blocks(rows, before=reach, size=min(blocks.BLOCK, ewma_block(cfg.ema_alpha) - reach))
     w = block_window(keys)
     opened = opened.withColumn("_step", F.row_number().over(w) - 1)
     out = close_blocks(opened.withColumn("ema_score", ewma("robust_score", cfg.ema_alpha, w)))

@@ -27,7 +27,7 @@ SMALL = replace(
     history_start="2024-01-01 00:00:00", n_trees=10, min_leaf=5, min_train_rows=50, min_test_rows=10,
     min_ic=-1.0, min_r2=-1e9, stability_min=0.0, clamp_run_max=1.0, clamp_switch_min=1.0, exhaustion_min=0.0,
     exhaustion_max=1e9, step_days=5, min_trades_eval=1, min_active_eval=1, max_dd_eval=1.0, max_coverage_eval=1.0)
-ITERATIONS = 3
+ITERATIONS = 2
 
 
 def daily_features(spark, folder):

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bars import resample_ohlcv
+from ..config import BAR_COLUMNS
+from ..operators.bars import bar_values
 
 
 def stream_bars(ticks: DataFrame, rule: str, delay: str = "10 minutes", min_count: int = 1, order: str = "ts",
                 keys=("series_id",)) -> DataFrame:
     """Right-closed bars, each emitted once when the watermark has passed its end.
 
-    Ticks later than `delay` are dropped.  The same operator as on a stored table; use
-    append output.
+    Same bins and aggregates as on a stored table.  Ticks later than `delay` are
+    dropped; use append output.
     """
-    return resample_ohlcv(ticks.withWatermark("ts", delay), rule, min_count, order, keys)
+    shifted = F.col("ts").cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND")
+    timed = ticks.withColumn("_t", shifted).withWatermark("_t", delay)
+    out = timed.groupBy(*keys, F.window("_t", rule)).agg(*bar_values(order)).filter(F.col("_rows") >= min_count)
+    return out.select(*keys, F.col("window.end").cast("timestamp_ntz").alias("ts"), *BAR_COLUMNS)
 
 
 def write_stream_table(df: DataFrame, path: str, checkpoint: str, available_now: bool = False):
