@@ -66,6 +66,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Mark a filter or projection of a stored table, which is cheap to read again."""
+    df._staged = True
+    return df
+
+
 # -- joining per-key values ------------------------------------------------
 
 def attach(df: DataFrame, small: DataFrame, keys, how: str = "inner", salt: int = SALT,

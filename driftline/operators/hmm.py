@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions import entropy
-from .blocks import attach, day_bucket, stage, with_position
+from .blocks import attach, day_bucket, stage, stored, with_position
 
 CHUNK = 1024
 TINY = 1e-250
@@ -268,6 +268,8 @@ def chunk_rows(df: DataFrame, features, keys=("series_id",), rows_per_day: int =
     values = F.array(*[F.col(c).cast("double") for c in features])
     keys, size = list(keys), size or CHUNK
     rows = df.select(*keys, sequence_key(keys).alias("seq"), "ts", own.alias("own"), values.alias("v"))
+    if getattr(df, "_staged", False):
+        rows = stored(rows)
     rows = with_position(stage(rows, "sequence"), ["seq"], ["ts"], day_bucket(rows_per_day))
     packed = rows.groupBy(*keys, "seq", F.expr(f"idx div {size}").alias("blk")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "ts", "own", "v"))).alias("r"))
@@ -362,11 +364,10 @@ def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: Ru
         step = stage(step, "params")
         ready = step.filter("done")
         finished = ready if finished is None else finished.unionByName(ready)
-        params = step.filter("NOT done")
-        params._staged = True
+        params = stored(step.filter("NOT done"))
         if params.isEmpty():
-            return stage(finished, "models")
-    return stage(finished.unionByName(params), "models")
+            return stored(finished)
+    return stored(finished.unionByName(params))
 
 
 def best_models(params: DataFrame, models: DataFrame, group) -> DataFrame:

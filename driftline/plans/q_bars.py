@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from ..config import BAR_COLUMNS
 from ..functions import coerce_numeric, day_of
+from ..operators import blocks as K
+from ..streaming import bars as SB
 from ..operators import bars as B
 from ..operators import calendar as C
 from ..sources import readers as R
@@ -176,3 +181,50 @@ SELECT series_id, {sql_day()} FROM (SELECT *, max(day_idx) OVER (PARTITION BY se
 WHERE day_idx > m - 44""")
 def last_trade_days(spark, folder):
     return C.last_n_days(order_days(spark, folder), 44).select("series_id", day_text().alias("day"))
+
+
+@query("scalar_functions", """SELECT event_id, round(ln(nullif(value, 0)), 8) + 0.0 AS log_value,
+ round(ln(value / (event_id + 1)), 8) + 0.0 AS log_ret, round(greatest(0.5, least(value, 2.5)), 6) + 0.0 AS clipped,
+ round(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / (event_id % 7) END, 8) + 0.0 AS quotient,
+ round(-((1 / (1 + value)) * ln(greatest(1 / (1 + value), 1e-12)) + (value / (1 + value)) * ln(greatest(value / (1 + value), 1e-12))), 8) + 0.0 AS entropy,
+ '(' || event_id || ',' || user_id || ',' || event_type || ')' AS text, (event_id * 13 + 5) || '_' || (event_id * 17 + 7) || '_' || (event_id * 19 + 11) AS seeds,
+ CAST(date_diff('day', TIMESTAMP '1970-01-01', date_trunc('day', ts)) AS BIGINT) AS day_no,
+ strftime(date_trunc('day', ts) + INTERVAL 575 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_start FROM events""")
+def scalar_functions(spark, folder):
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    p = 1 / (1 + F.col("value"))
+    t = fn.seed_triplet("event_id")
+    return e.select(
+        "event_id", (F.round(fn.safe_log("value"), 8) + 0.0).alias("log_value"),
+        (F.round(fn.log_return("value", F.col("event_id") + 1), 8) + 0.0).alias("log_ret"),
+        *[(F.round(fn.clip("value", 0.5, 2.5), 6) + 0.0).alias("clipped")],
+        (F.round(fn.ratio("value", F.col("event_id") % 7), 8) + 0.0).alias("quotient"),
+        (F.round(fn.entropy(F.array(p, 1 - p)), 8) + 0.0).alias("entropy"),
+        fn.tuple_text("event_id", "user_id", "event_type").alias("text"),
+        fn.triplet_text(t["rs_5m"], t["rs_30m"], t["rs_1d"]).alias("seeds"),
+        long(fn.day_number("ts")).alias("day_no"), time_text(fn.at_time(day_of("ts"), "09:35")).alias("session_start"))
+
+
+@query("equity_source", f"""SELECT o_orderpriority AS series_id, {sql_time('o_orderdate')}, round(o_totalprice, 2) + 0.0 AS equity
+FROM orders WHERE o_orderstatus <> 'F'""")
+def equity_source(spark, folder):
+    """A curve table whose time and equity are text, some of it unreadable."""
+    o = spark.read.parquet(f"{folder}/orders.parquet")
+    bad = F.when(F.col("o_orderstatus") == "F", "unknown")
+    raw = o.select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("string").alias("time"),
+                   F.col("o_custkey").alias("other"), F.coalesce(bad, F.col("o_totalprice").cast("string")).alias("eq_net"))
+    return R.as_equity(raw, keep=["series_id"]).select("series_id", time_text().alias("ts"), *rounded(2, "equity"))
+
+
+@query("stream_bars_30m", f"""WITH {sql.bars('events', 30)} SELECT {SQL_BAR} FROM bars
+WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_bars_30m(spark, folder):
+    """The bar stream run to the end of the table; bins the watermark has not passed stay open."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    ticks = stream.select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+                          F.col("value").alias("price"), F.lit(1.0).alias("qty"))
+    where = f"{K.shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    bars = SB.stream_bars(SB.bar_ticks(ticks), "30 minutes")
+    SB.write_stream_table(bars, f"{where}/out", f"{where}/mark", available_now=True).awaitTermination()
+    return bar_output(spark.read.parquet(f"{where}/out"))

@@ -94,6 +94,18 @@ def event_windows(spark, folder):
     return C.walk_forward_windows(days, SMALL.step_days).filter("cycle_no >= 3")
 
 
+@query("sweep")
+def sweep(spark, folder):
+    """Two seed triplets evaluated in two cycles, with the selector's tier flags."""
+    from ..operators import walkforward as W
+    bars = K.stage(events_bars(spark, folder, "5 minutes"), "bars")
+    evals, _ = U.sweep(bars, event_windows(spark, folder), SMALL, 2, ITERATIONS, U.BASE_FEATURES)
+    out = W.robust_score(W.candidate_tiers(evals, SMALL), SMALL)
+    return out.select("series_id", long("cycle_no").alias("cycle_no"), "run_id", "strict", "relaxed",
+                      *[long(c).alias(c) for c in ("eval_trades", "eval_active_bars")],
+                      *rounded(4, "eval_sharpe_daily", "eval_max_dd", "eval_gate_coverage", "robust_score"))
+
+
 @query("walk_forward")
 def walk_forward(spark, folder):
     """Two cycles, two seed triplets: selection, trading of the next window, compounding."""

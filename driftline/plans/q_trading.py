@@ -130,6 +130,17 @@ def gate_mask(spark, folder):
     return gated(spark, folder)[0].select("series_id", time_text().alias("ts"), "split", "gate_on")
 
 
+@query("trade_snapshot", f"""WITH RECURSIVE {GATE}
+SELECT {HEAD}, CAST(super_state AS BIGINT) AS super_state, gate_on, {sql_rnd('CASE WHEN super_state IN (1, 2, 3, 4) THEN pred END', 6, 'pred')}
+FROM ga WHERE split = 'trade'""")
+def trade_snapshot(spark, folder):
+    rows = K.stage(gated(spark, folder)[0].filter("split = 'trade'"), "trade")
+    preds = rows.filter("super_state IN (1, 2, 3, 4)").select("series_id", "ts", "super_state", "pred")
+    snap = M.trade_snapshot(rows.drop("pred"), preds)
+    return snap.select("series_id", time_text().alias("ts"), long("super_state").alias("super_state"), "gate_on",
+                       *rounded(6, "pred"))
+
+
 # -- exits and P&L on the whole daily table --------------------------------
 
 def signal_inputs(spark, folder):

@@ -8,6 +8,8 @@ are the exception: Spark fits one per run and label, a few at a time.
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from ..operators import paths as P
 from ..operators import trading as G
 from ..operators import walkforward as W
 from ..operators.bars import resample_ohlcv
-from ..operators.blocks import attach, position_bars, stage
+from ..sources.writers import publish_pack
+from ..operators.blocks import attach, position_bars, stage, stored
 
 # Inputs of the base model, and the seed of the overlay model.
 BASE_FEATURES = ("vol_ratio", "rsi_14", "atr_14", "adx_14", "ret_1", "trend_strength")
@@ -67,11 +70,11 @@ def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig,
     The labels carry the keys, ts, model_id, the state and the state probabilities.
     """
     keys, features = list(keys), list(features)
-    rows = df.select(*keys, "ts", "trade_start", *features).dropna(subset=features)
-    rows = stage(fit_rows(stage(rows, "regime_in"), k, least, cfg, keys), "regime_fit")
+    rows = stored(stage(df, "regime_in").select(*keys, "ts", "trade_start", *features).dropna(subset=features))
+    rows = stage(fit_rows(rows, k, least, cfg, keys), "regime_fit")
     scaled = [f + "_z" for f in features]
     rows = stage(L.standardize(rows, features, F.col("fit"), keys).drop(*features), "scaled")
-    fit = rows.filter("fit").select(*keys, "ts", *scaled)
+    fit = stored(rows.filter("fit").select(*keys, "ts", *scaled))
     if cfg.num_inits > 1:
         inits = F.explode(F.sequence(F.lit(0), F.lit(cfg.num_inits - 1)))
         trials = models.withColumn("base_id", F.col("model_id")).withColumn("_i", inits)
@@ -83,14 +86,19 @@ def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig,
     else:
         params = H.fit_gaussian_hmm(fit, scaled, models, k, cfg, keys, rows_per_day, max_iter)
     params = stage(H.align_states(params, k, len(features)), "aligned")
-    placed = stage(position_bars(rows.select(*keys, "ts", "trade_start", *scaled), rows_per_day, keys), "placed")
+    placed = position_bars(stored(rows.select(*keys, "ts", "trade_start", *scaled)), rows_per_day, keys)
+    placed = stage(placed, "placed")
     starts = placed.groupBy(*keys).agg(F.max("trade_start").alias("trade_start"))
     segs = H.segments(placed.drop("trade_start"), starts, warmup, keys)
     return H.decode(segs, scaled, params, k, keys, rows_per_day, state), params
 
 
-def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), max_iter: int | None = None) -> DataFrame:
-    """The 30-minute table of every run: overlay, second-level state, path metrics."""
+def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), max_iter: int | None = None,
+               parameters: dict | None = None) -> DataFrame:
+    """The 30-minute table of every run: overlay, second-level state, path metrics.
+
+    The fitted parameter tables are put into `parameters` when it is given.
+    """
     runs = stage(runs, "runs")
     cycles = runs.select(*CYCLE, "trade_start", "data_end").distinct()
     rows = attach(features, cycles, ["series_id"], salt_on=["ts"])
@@ -104,7 +112,9 @@ def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
     models = models.withColumn("model_id", F.concat_ws("|", *keys, "seed"))
     warm = (F.when(F.col("tf") == "5m", cfg.warmup_5m).when(F.col("tf") == "30m", cfg.warmup_30m)
             .otherwise(cfg.warmup_1d))
-    labels, _ = regimes(rows, BASE_FEATURES, models, cfg.n_states, cfg, keys, warm, 200, max_iter)
+    labels, fitted = regimes(rows, BASE_FEATURES, models, cfg.n_states, cfg, keys, warm, 200, max_iter)
+    if parameters is not None:
+        parameters["base_models"] = fitted
     labels = stage(labels.join(models, [*keys, "model_id"]).select(*keys, "seed", "ts", "state"), "base_labels")
 
     def of(tf):
@@ -119,11 +129,12 @@ def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
     s30 = of("30m").join(who.select(*RUN, "rs_30m"), [*CYCLE, "rs_30m"]).drop("rs_30m")
     base = rows.filter("tf = '30m'").drop("tf").join(s30, [*CYCLE, "ts"])
     overlay = stage(O.build_overlay(base, bins, daily, keys=RUN), "overlay")
-    return super_regimes(overlay, cfg, RUN, max_iter)
+    return super_regimes(overlay, cfg, RUN, max_iter, parameters=parameters)
 
 
 def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("series_id",), max_iter: int | None = None,
-                  seed: int = SUPER_SEED, rows_per_day: int = 48) -> DataFrame:
+                  seed: int = SUPER_SEED, rows_per_day: int = 48,
+                  parameters: dict | None = None) -> DataFrame:
     """Second-level regimes of an overlay table, their certainty and path metrics."""
     keys = list(keys)
     if "trade_start" not in overlay.columns:
@@ -131,8 +142,10 @@ def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("serie
     overlay = stage(overlay.dropna(subset=list(SUPER_FEATURES)), "overlay")
     models = overlay.select(*keys).distinct().withColumns(
         {"seed": F.lit(seed).cast("long"), "model_id": F.concat_ws("|", *keys)})
-    labels, _ = regimes(overlay, SUPER_FEATURES, models, cfg.k_super, cfg, keys, F.lit(cfg.warmup_super), 300,
+    labels, fitted = regimes(overlay, SUPER_FEATURES, models, cfg.k_super, cfg, keys, F.lit(cfg.warmup_super), 300,
                         max_iter, rows_per_day, "super_state")
+    if parameters is not None:
+        parameters["super_models"] = fitted
     labels = H.posterior_metrics(labels, cfg.k_super).drop("smoothed", "filtered", "model_id", "seg")
     rows = overlay.drop("overlay_struct").join(labels, [*keys, "ts"])
     rows = position_bars(rows.drop("idx"), rows_per_day, keys)
@@ -141,7 +154,10 @@ def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("serie
 
 def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), parallel: int = 4,
                   pool_series: bool = True):
-    """Forecast, gate and trade every run: (statistics, equity, trades, models).
+    """Forecast, gate and trade every run: (statistics, equity, trades, pack).
+
+    The pack holds what is needed to go on from here: the forests (`models`), the good
+    labels, the gate thresholds and the trade rows with their predictions.
 
     `table` comes from `label_runs`.  Statistics have a row for every run.  Forests,
     good labels and thresholds belong to a cycle and run; with `pool_series` the series
@@ -173,7 +189,30 @@ def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
     stats = G.run_stats(equity, trades, keys)
     stats = runs.select(*RUN).join(stats, keys, "left").fillna(
         {"final_equity": 1.0, "max_drawdown": 0.0, "n_trades": 0, "active_bars": 0, "gated_n": 0})
-    return stats, equity, trades, models
+    pack = {"models": models, "good_states": good, "gate_thresholds": thresholds,
+            "trade_snapshot": M.trade_snapshot(trade, predicted, keys)}
+    return stats, equity, trades, pack
+
+
+def export_pack(folder: str, table: DataFrame, pack: dict, parameters: dict, cfg: RunConfig = RunConfig(),
+                selection: DataFrame | None = None) -> None:
+    """Overwrite the pack in `folder`: settings, model parameters, forests, good labels,
+    thresholds, trade snapshot, path seeds and, if given, the selection of runs.
+
+    Runs with fewer than 20 rows get no path seed.
+    """
+    spark = table.sparkSession
+    keys = list(RUN)
+    long_enough = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 20").drop("_n")
+    rows = table.select(*keys, "ts", "idx", "super_state").join(long_enough, keys, "left_semi")
+    tables = {
+        "meta": spark.createDataFrame([(str(k), str(v)) for k, v in asdict(cfg).items()], "name string, value string"),
+        "path_seed": P.path_seed(P.with_runs(rows, "super_state", keys), "super_state", cfg, keys),
+        **parameters, **{k: v for k, v in pack.items() if k != "models"},
+    }
+    if selection is not None:
+        tables["selection"] = selection
+    publish_pack(folder, tables, {str(k).replace("|", "_"): m for k, m in pack["models"].items()})
 
 
 def sweep(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig(), n_sweeps: int | None = None,
