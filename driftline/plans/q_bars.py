@@ -133,13 +133,13 @@ def backstep_endpoints(spark, folder):
         "series_id", day_text().alias("day"), long("day_idx").alias("day_idx"))
 
 
-@query("cutoff_in_month", f"""WITH {SQL_DAYS}
+@query("cutoff_in_month", f"""WITH ticks AS ({sql.TICKS['events']}), {DAYS.format(start='2024-01-01')}
 SELECT series_id, {sql_day('max(day)', 'cutoff')} FROM
  (SELECT *, max(day_idx) OVER (PARTITION BY series_id) AS m FROM days)
-WHERE (m - day_idx) % 5 = 0 AND strftime(day, '%Y-%m') = '1999-03' GROUP BY series_id""")
+WHERE (m - day_idx) % 5 = 0 AND strftime(day, '%Y-%m') = '2024-01' GROUP BY series_id""")
 def cutoff_in_month(spark, folder):
-    ends = C.backstep_endpoints(order_days(spark, folder), 5)
-    return C.first_cutoff_in_month(ends, "1999-03").select("series_id", day_text("cutoff").alias("cutoff"))
+    ends = C.backstep_endpoints(C.trading_days(R.ticks_events(spark, folder), "2024-01-01"), 5)
+    return C.first_cutoff_in_month(ends, "2024-01").select("series_id", day_text("cutoff").alias("cutoff"))
 
 
 SQL_WINDOWS = f"""{SQL_DAYS},
