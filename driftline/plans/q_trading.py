@@ -19,7 +19,7 @@ from .q_bars import daily_bars
 from .q_labels import EWMA_RUNS, HEAD, daily_returns, daily_states
 from .registry import long, query, rnd, rounded, sql_rnd, sql_rounded, sql_time, time_text
 
-CFG = replace(RunConfig(), history_start="1996-01-01 00:00:00", trade_days=400, stop_mult=0.6, take_mult=1.2,
+CFG = replace(RunConfig(), history_start="1996-01-01 00:00:00", trade_days=100, stop_mult=0.6, take_mult=1.2,
               exhaustion_min=0.05, exhaustion_max=6.0, clamp_switch_min=0.05, clamp_run_max=60.0)
 
 
@@ -43,7 +43,7 @@ lab AS (SELECT *, state AS super_state, "close" / lag("close", 10) OVER w - 1 AS
   ln(lead("close", 4) OVER w / "close") AS y_ret_4 FROM metrics WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
 lab2 AS (SELECT * FROM lab WHERE pred IS NOT NULL AND y_ret_4 IS NOT NULL),
 dd AS (SELECT series_id, min(day) AS d0 FROM (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day DESC) AS r
-  FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM lab2)) WHERE r <= 400 GROUP BY 1),
+  FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM lab2)) WHERE r <= 100 GROUP BY 1),
 ro AS (SELECT lab2.*, CASE WHEN ts >= d0 THEN 'trade' WHEN ts >= TIMESTAMP '1996-01-01' THEN 'history' END AS role
   FROM lab2 JOIN dd USING (series_id)),
 sp AS (SELECT *, CASE WHEN role = 'trade' THEN 'trade'
@@ -79,7 +79,7 @@ def time_split(spark, folder):
 
 
 METRICS = """vm AS (SELECT super_state, sqrt(avg((y_ret_4 - pred) ** 2)) AS rmse, avg(abs(y_ret_4 - pred)) AS mae,
-  1 - sum((y_ret_4 - pred) ** 2) / (var_pop(y_ret_4) * count(*)) AS r2, corr(y_ret_4, pred) AS ic, count(*) AS test_n
+  1 - sum((y_ret_4 - pred) ** 2) / nullif(var_pop(y_ret_4) * count(*), 0) AS r2, CASE WHEN count(*) > 2 THEN corr(y_ret_4, pred) END AS ic, count(*) AS test_n
   FROM sp WHERE split = 'validation' GROUP BY 1)"""
 
 
