@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash
+from . import bpe, minhash, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -31,3 +31,8 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_superminhash")
 def superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op10_substring")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
