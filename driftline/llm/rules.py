@@ -76,7 +76,7 @@ def references(docs: DataFrame) -> DataFrame:
     per_class = F.concat(_classes(F.col("body")), F.array(F.length("body").cast("long")))
     cells = F.concat(F.transform(_plain_words(F.col("body")), lambda w: F.struct(w.alias("cell"), F.lit(1).cast("long").alias("n"))),
                      F.transform(per_class, lambda n, i: F.struct(F.concat(F.lit(" "), i.cast("string")).alias("cell"), n.alias("n"))))
-    counts = d.select("lang", F.inline(cells)).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counts = d.select("lang", F.inline_outer(cells)).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     is_class = F.col("cell").startswith(" ")
     class_sums = [F.sum(F.when(F.col("cell") == f" {i}", F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(names))]
     totals = counts.groupBy("lang").agg(F.sum(F.when(~is_class, F.col("n")).otherwise(0)).alias("all_words"), *class_sums)
