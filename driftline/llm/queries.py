@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, rules, secrets, substring
+from . import bpe, decontaminate, minhash, rules, secrets, substring, urls
 from .common import read
 
 QUERIES: dict = {}
@@ -33,6 +33,61 @@ def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+#: Fixed values of the contract: action, host and path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+URL_SQL = f"""
+WITH urls AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '\\A([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         regexp_extract(rest, '\\A[^/?#]*([^?#]*)', 1) AS path FROM urls),
+seen AS (
+  SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
+  FROM p JOIN labels ON try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT) = doc_id
+  WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+h AS (
+  SELECT host, sum(pages) AS pages, sum(bad) AS bad, split_part(host, '.', -1) AS suffix,
+         CASE WHEN strpos(host, '.') > 0 THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
+  FROM (SELECT host, 0 AS pages, 0 AS bad FROM p UNION ALL SELECT host, 1, bad FROM seen) GROUP BY host),
+d AS (SELECT domain, suffix, sum(pages) AS pages, sum(bad) AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(pages) AS pages, sum(bad) AS bad FROM d GROUP BY suffix),
+levels AS (
+  SELECT 0 AS level, '' AS name, pages, bad FROM s UNION ALL SELECT 1, suffix, pages, bad FROM d UNION ALL SELECT 2, domain, pages, bad FROM h),
+sums AS (
+  SELECT level, name, sum(pages) AS pages, sum(bad) AS bad, count(CASE WHEN pages > 0 THEN 1 END) AS children,
+         sum(CASE WHEN pages > 0 THEN bad * bad / pages ELSE 0 END) AS squares, (sum(bad) + 0.5::DOUBLE) / (sum(pages) + 1) AS rate
+  FROM levels GROUP BY level, name),
+between_ AS (
+  SELECT *, CASE WHEN pages > 0 THEN (squares - 2 * rate * bad + rate * rate * pages) / pages - rate * (1 - rate) * children / pages ELSE 0 END AS v FROM sums),
+prior AS (
+  SELECT level, name, rate, CASE WHEN pages > 0 AND v > 0 THEN least({urls.MOST}::DOUBLE, greatest({urls.LEAST}::DOUBLE, rate * (1 - rate) / v - 1)) ELSE {urls.MOST}::DOUBLE END AS n FROM between_),
+s2 AS (SELECT s.suffix, (s.bad + a.n * a.rate) / (s.pages + a.n) AS m FROM s JOIN prior a ON a.level = 0),
+d2 AS (SELECT d.domain, (d.bad + a.n * s2.m) / (d.pages + a.n) AS m FROM d JOIN s2 USING (suffix) JOIN prior a ON a.level = 1 AND a.name = d.suffix),
+h2 AS (SELECT h.host, h.pages, a.n, (h.bad + a.n * d2.m) / (h.pages + a.n) AS rate FROM h JOIN d2 USING (domain) JOIN prior a ON a.level = 2 AND a.name = h.domain),
+h3 AS (SELECT host, rate, rate - {urls.Z} * sqrt(rate * (1 - rate) / (pages + n + 1)) AS bound FROM h2),
+r(action, rule) AS (VALUES {", ".join(f"('{a}', '{r}')" for a, r in URL_RULES)}),
+fit AS (
+  SELECT page_id, host, path, max({{'size': length(rule), 'rule': rule, 'action': action}}) AS f FROM p JOIN r
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, f.rule AS rule, coalesce(f.action, CASE WHEN bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(rate, 6) AS rate, round(bound, 6) AS bound
+FROM p JOIN h3 USING (host) LEFT JOIN fit ON p.page_id = fit.page_id AND p.host = fit.host AND p.path = fit.path
+"""
+
+
+@query("op6_url_reputation", URL_SQL)
+def url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels")
+    # A page shows the document whose number its path ends in; the document's labels are the page's outcome.
+    number = F.expr("try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS bigint)")
+    shown = pages.select("url", urls.parsed(F.col("url"))[1].alias("path")).select("url", number.alias("doc_id"))
+    outcomes = shown.join(labels, "doc_id").where("quality IS NOT NULL AND toxic IS NOT NULL").select(
+        "url", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return urls.judge(pages, outcomes, URL_RULES)
+
+
 @query("op7_secrets")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
