@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, rules, secrets, substring, urls
-from .common import read
+from . import bpe, decontaminate, minhash, rules, secrets, substring, toxicity, urls
+from .common import Store, join_small, read
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -28,6 +28,22 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.PATTERN, digests=True)
 
 
+#: Rows of two numbers that may be broadcast.
+LABELS = 2_000_000
+#: Expected grade from which a document counts as toxic.
+TOXIC = 0.2
+
+
+@query("op3_toxicity")
+def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = read(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", F.col("toxic").alias("grade"))
+    labelled = toxicity.unique_texts(join_small(docs, marks, "doc_id", "inner", LABELS), Store(spark))
+    labelled = toxicity.graded(labelled, toxicity.choose_words(labelled, only_for=True))
+    scored = toxicity.score(docs, toxicity.train(labelled))
+    return scored.withColumn("toxic", F.col("severity") >= TOXIC)
+
+
 @query("op5_divergence")
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
