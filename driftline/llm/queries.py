@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, rules, secrets, substring, toxicity, urls
+from . import bpe, decontaminate, minhash, quality, rules, secrets, substring, toxicity, urls
 from .common import Store, join_small, read
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_quality")
+def quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.posteriors(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Store(spark)).drop("key")
+
+
 @query("op2_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -31,7 +36,7 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rows of two numbers that may be broadcast.
 LABELS = 2_000_000
 #: Expected grade from which a document counts as toxic.
-TOXIC = 0.2
+TOXIC = 0.3
 
 
 @query("op3_toxicity")
