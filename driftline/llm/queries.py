@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, quality, rules, secrets, substring, toxicity, urls
+from . import bpe, decontaminate, minhash, quality, rules, secrets, substring, toxicity, urls, wrapper
 from .common import Store, join_small, read
 
 QUERIES: dict = {}
@@ -49,6 +49,11 @@ def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("severity") >= TOXIC)
 
 
+@query("op4_wrapper")
+def wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(read(spark, sf_dir, "pages"))
+
+
 @query("op5_divergence")
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
