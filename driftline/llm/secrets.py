@@ -144,8 +144,11 @@ def redact(docs: DataFrame, store: Store | None = None, mask: str = "[removed]")
     d = d.withColumn(spans_name, spans)
     cut = F.aggregate(spans_name, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step,
                       lambda acc: F.concat(acc["text"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size(spans_name) > 0, cut).otherwise(F.col("text"))
-    columns = {"text": text.alias("text")}
+    # The new text is made before it takes the old one's name: a select would resolve names in it to its own aliases.
+    new, found = fresh(docs, "new_text"), F.size(spans_name) > 0
+    d = d.withColumn(new, F.when(found, cut).otherwise(F.col("text")))
+    columns = {"text": F.col(new).alias("text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size(spans_name) > 0, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        size = F.length(new).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(found, size).otherwise(F.col("n_chars")).alias("n_chars")
     return d.select(*[columns.get(c, F.col(c)) for c in docs.columns])
