@@ -126,16 +126,18 @@ def stage_diff(old: DataFrame, new: DataFrame, columns, keys=("series_id",)) ->
 
 
 def table_profile(df: DataFrame, columns, n: int = 64, keys=(), state: str | None = None) -> DataFrame:
-    """Rows, time range, a content hash, and a hash of the first and last n rows.
+    """Rows, time range, a content hash of all columns, and a hash of the first and last n rows.
 
-    The hash is a sum of row hashes, so it does not depend on the order of the rows.
+    The edge hash covers `columns`, all of them if none is there. A hash is a sum of row hashes, so it does not
+    depend on the order of the rows; columns count in the order of their names.
     """
     keys = list(keys)
-    present = [c for c in columns if c in df.columns] or df.columns[:8]
+    present = [c for c in columns if c in df.columns] or df.columns
+    whole = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
     h = F.xxhash64(*present).cast("decimal(38,0)")
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts").alias("time_min"), F.max("ts").alias("time_max"),
-        F.sum(h).alias("content_hash"))
+        F.sum(whole).alias("content_hash"))
     tie = [F.col(c) for c in present]
     edges = None
     for order in ([F.col("ts"), *tie], [F.col("ts").desc(), *[c.desc() for c in tie]]):

@@ -5,9 +5,8 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array  # noqa: F401  (re-exported for users of the vectors)
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FORECAST_FEATURES, RunConfig
@@ -133,12 +132,13 @@ def regression_metrics(df: DataFrame, y: str, pred: str, group=("super_state",))
 
 
 def select_states(metrics: DataFrame, cfg: RunConfig = RunConfig(), max_states: int | None = None,
-                  state: str = "super_state") -> DataFrame:
-    """Labels whose validation metrics pass; optionally the best few by ic."""
+                  state: str = "super_state", keys=()) -> DataFrame:
+    """Labels whose validation metrics pass; optionally the best few by ic of each group of `keys`."""
     good = metrics.filter(
         (F.col("test_n") >= cfg.min_test_rows) & (F.col("ic") > cfg.min_ic) & (F.col("r2") > cfg.min_r2))
     if max_states:
-        good = good.orderBy(F.desc("ic"), state).limit(max_states)
+        place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("ic"), state))
+        good = good.withColumn("_place", place).filter(F.col("_place") <= max_states).drop("_place")
     return good
 
 

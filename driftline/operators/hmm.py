@@ -12,7 +12,8 @@ sequence is done in three steps, so that no task ever holds a whole sequence:
 The results are those of the recursions over the whole sequence.  Fitting repeats the
 steps: the chunks send sufficient statistics, Spark sums them per model, and the new
 parameters are written to the shared folder.  All models advance in the same jobs and
-leave when they have converged.
+leave when they have converged.  A model whose sequence has at most WHOLE chunks takes the
+same steps, with the same numbers, inside one task, so it costs no job per step.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from ..functions import entropy
 from .blocks import attach, day_bucket, stage, stored, with_position
 
 CHUNK = 1024
+#: A sequence of at most so many chunks is fitted by one task; longer ones take the steps above in jobs.
+WHOLE = 64
 TINY = 1e-250
 
 
@@ -239,6 +242,23 @@ def _maximise(row, k, d, min_covar, tol):
     return row
 
 
+def _fit_whole(k: int, d: int, min_covar: float, tol: float, max_iter: int):
+    """All steps of a model, from the chunks of its sequence and its starting parameters."""
+    moving = ["start", "trans", "means", "covars"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0][PARAMETERS].to_dict()
+        chunks = pdf[["model_id", "seq", "blk", "x"]].sort_values("blk").reset_index(drop=True)
+        while not row["done"] and row["iters"] < max_iter:
+            now = chunks.assign(**{p: [row[p]] * len(chunks) for p in moving})
+            moved = pd.concat(_transfers(k, d, False)([now]))
+            work = now.merge(_boundaries(k, False)(moved), on=["model_id", "seq", "blk"])
+            stats = np.sum(pd.concat(_statistics(k, d)([work]))["stats"].to_list(), axis=0)
+            row = _maximise({**row, "stats": stats}, k, d, min_covar, tol)
+        return pd.DataFrame([row])[PARAMETERS]
+    return run
+
+
 def _positive(covars) -> bool:
     try:
         np.linalg.cholesky(covars)
@@ -349,8 +369,15 @@ def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: Ru
     df = stage(df, "fit")
     chunks = chunk_rows(df, features, keys, rows_per_day)
     params = stage(random_init(df, features, models, k, cfg.min_covar, keys), "params")
-    finished = None
-    for _ in range(max_iter or cfg.max_iter):
+    limit = max_iter or cfg.max_iter
+    long_ = chunks.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE).select("seq")
+    long_ = stage(long_, "long")
+    brief = params.join(long_, "seq", "left_anti")
+    work = attach(chunks.select("seq", "blk", "x"), brief, ["seq"], salt_on=["blk"])
+    finished = stage(work.groupBy("model_id").applyInPandas(
+        _fit_whole(k, d, cfg.min_covar, cfg.tol, limit), PARAMETER_SCHEMA), "params")
+    params = stored(params.join(long_, "seq", "left_semi"))
+    for _ in range(0 if long_.isEmpty() else limit):
         work = _with_parameters(chunks, params)
         bounds = _boundary_table(work, k, d, best=False)
         stats = _bounded_work(chunks, params, bounds).mapInPandas(
@@ -362,8 +389,7 @@ def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: Ru
         step = params.join(summed, "model_id").mapInPandas(
             _new_parameters(k, d, cfg.min_covar, cfg.tol), PARAMETER_SCHEMA)
         step = stage(step, "params")
-        ready = step.filter("done")
-        finished = ready if finished is None else finished.unionByName(ready)
+        finished = finished.unionByName(step.filter("done"))
         params = stored(step.filter("NOT done"))
         if params.isEmpty():
             return stored(finished)

@@ -30,17 +30,18 @@ def pct_change(x: str, n: int, w) -> Column:
     return ratio(F.col(x), F.lag(x, n).over(w)) - 1
 
 
-def rolling(fn, x: str, n: int, w, first: int = 0) -> Column:
-    """fn over the last n rows, NULL until n values exist (`first`: index of the first value)."""
-    return F.when(F.col("idx") >= first + n - 1, fn(x).over(last_rows(w, n)))
+def rolling(fn, x: str, n: int, w) -> Column:
+    """fn over the last n rows, NULL unless all of them have a value."""
+    frame = last_rows(w, n)
+    return F.when(F.count(x).over(frame) >= n, fn(x).over(frame))
 
 
-def rolling_mean(x: str, n: int, w, first: int = 0) -> Column:
-    return rolling(F.avg, x, n, w, first)
+def rolling_mean(x: str, n: int, w) -> Column:
+    return rolling(F.avg, x, n, w)
 
 
-def rolling_vol(x: str, n: int, w, first: int = 1) -> Column:
-    return rolling(F.stddev_samp, x, n, w, first)
+def rolling_vol(x: str, n: int, w) -> Column:
+    return rolling(F.stddev_samp, x, n, w)
 
 
 def memory(alpha: float) -> int:

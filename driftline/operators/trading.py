@@ -154,8 +154,9 @@ def _block_starts(maps: DataFrame, horizon: int, keys) -> DataFrame:
         pdf = pdf.sort_values("_blk")
         start, before, starts = 0, None, []
         for blk, step in zip(pdf["_blk"], pdf["_map"]):
-            if before is not None and blk != before + 1 and start != closed:
-                start = 0
+            if before is not None and start != closed:
+                # Blocks without signals between the two use up the open trade.
+                start = max(0, start - CHAIN_BLOCK * (blk - before - 1))
             starts.append(start)
             start = closed if start == closed else int(step[start])
             before = blk

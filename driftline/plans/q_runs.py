@@ -1,6 +1,7 @@
 """Queries without an SQL counterpart: model fitting and whole runs.
 
-They work on the whole tables; few iterations, trees and seeds keep them affordable.
+They work on the whole tables and all cycles, and models are fitted until they converge; few trees and seeds
+keep them affordable.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SMALL = replace(
     history_start="2024-01-01 00:00:00", n_trees=10, min_leaf=5, min_train_rows=50, min_test_rows=10,
     min_ic=-1.0, min_r2=-1e9, stability_min=0.0, clamp_run_max=1.0, clamp_switch_min=1.0, exhaustion_min=0.0,
     exhaustion_max=1e9, step_days=5, min_trades_eval=1, min_active_eval=1, max_dd_eval=1.0, max_coverage_eval=1.0)
-ITERATIONS = 2
+ITERATIONS = None
 
 
 def daily_features(spark, folder):
@@ -91,12 +92,12 @@ def forecast_by_state(spark, folder):
 
 def event_windows(spark, folder):
     days = C.trading_days(R.ticks_events(spark, folder))
-    return C.walk_forward_windows(days, SMALL.step_days).filter("cycle_no >= 3")
+    return C.walk_forward_windows(days, SMALL.step_days)
 
 
 @query("sweep")
 def sweep(spark, folder):
-    """Two seed triplets evaluated in two cycles, with the selector's tier flags."""
+    """Two seed triplets evaluated in every cycle, with the selector's tier flags."""
     from ..operators import walkforward as W
     bars = K.stage(events_bars(spark, folder, "5 minutes"), "bars")
     evals, _ = U.sweep(bars, event_windows(spark, folder), SMALL, 2, ITERATIONS, U.BASE_FEATURES)
@@ -108,7 +109,7 @@ def sweep(spark, folder):
 
 @query("walk_forward")
 def walk_forward(spark, folder):
-    """Two cycles, two seed triplets: selection, trading of the next window, compounding."""
+    """All cycles, two seed triplets: selection, trading of the next window, compounding."""
     bars = K.stage(events_bars(spark, folder, "5 minutes"), "bars")
     _, curve, _ = U.walk_forward(bars, event_windows(spark, folder), SMALL, 2, ITERATIONS, U.BASE_FEATURES)
     return curve.select("series_id", time_text().alias("ts"), long("cycle_no").alias("cycle_no"), *rounded(6, "eq_global"))

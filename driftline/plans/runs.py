@@ -85,7 +85,9 @@ def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig,
         params = params.withColumn("model_id", F.regexp_replace("model_id", r"#\d+$", ""))
     else:
         params = H.fit_gaussian_hmm(fit, scaled, models, k, cfg, keys, rows_per_day, max_iter)
-    params = stage(H.align_states(params, k, len(features)), "aligned")
+    # The parameters say if too short a history made the fit use all rows.
+    short = rows.select(H.sequence_key(keys).alias("seq"), "fit_fallback").distinct()
+    params = stage(attach(H.align_states(params, k, len(features)), short, ["seq"]), "aligned")
     placed = position_bars(stored(rows.select(*keys, "ts", "trade_start", *scaled)), rows_per_day, keys)
     placed = stage(placed, "placed")
     starts = placed.groupBy(*keys).agg(F.max("trade_start").alias("trade_start"))
@@ -153,16 +155,17 @@ def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("serie
 
 
 def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), parallel: int = 4,
-                  pool_series: bool = True):
+                  pool_series: bool = False):
     """Forecast, gate and trade every run: (statistics, equity, trades, pack).
 
     The pack holds what is needed to go on from here: the forests (`models`), the good
     labels, the gate thresholds and the trade rows with their predictions.
 
-    `table` comes from `label_runs`.  Statistics have a row for every run.  Forests,
-    good labels and thresholds belong to a cycle and run; with `pool_series` the series
-    of a run share them, so the number of forests does not grow with the number of
-    series.  For a single series both settings are the same.
+    `table` comes from `label_runs`.  Statistics have a row for every run; `engine_ok` is false for
+    one without training or without trade rows, and `engine_err` says which.  Forests, good labels
+    and thresholds belong to a series, cycle and run, as a label of one series has nothing to do
+    with that of another.  With `pool_series` the series of a run share them; for a single series
+    both settings are the same.
     """
     keys = list(RUN)
     group = [k for k in RUN if k != "series_id"] if pool_series else keys
@@ -187,7 +190,13 @@ def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
     equity, trades = G.backtest(bars, predicted, cfg, rows_per_day=48, keys=keys)
     equity = stage(equity, "equity")
     stats = G.run_stats(equity, trades, keys)
-    stats = runs.select(*RUN).join(stats, keys, "left").fillna(
+    seen = split.groupBy(*keys).agg(F.bool_or(F.col("split") == "train").alias("_train"),
+                                    F.bool_or(F.col("split") == "trade").alias("_trade"))
+    stats = runs.select(*RUN).join(stats, keys, "left").join(seen, keys, "left")
+    problem = (F.when(~F.coalesce("_train", F.lit(False)), F.lit("no training rows"))
+               .when(~F.coalesce("_trade", F.lit(False)), F.lit("no rows in the trade window")))
+    stats = stats.withColumn("engine_err", problem).withColumn("engine_ok", F.col("engine_err").isNull())
+    stats = stats.drop("_train", "_trade").fillna(
         {"final_equity": 1.0, "max_drawdown": 0.0, "n_trades": 0, "active_bars": 0, "gated_n": 0})
     pack = {"models": models, "good_states": good, "gate_thresholds": thresholds,
             "trade_snapshot": M.trade_snapshot(trade, predicted, keys)}
@@ -216,7 +225,8 @@ def export_pack(folder: str, table: DataFrame, pack: dict, parameters: dict, cfg
 
 
 def sweep(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig(), n_sweeps: int | None = None,
-          max_iter: int | None = None, required=I.INDICATORS, features: DataFrame | None = None):
+          max_iter: int | None = None, required=I.INDICATORS, features: DataFrame | None = None,
+          pool_series: bool = False):
     """Evaluate seed triplets 0 ... n-1 in every cycle; (evaluation table, equity).
 
     `windows` has series_id, cycle_no, eval_start and eval_end.
@@ -232,17 +242,17 @@ def sweep(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig(), n_s
     if features is None:
         features = feature_tables(bars, cfg, required)
     table = label_runs(features, runs, cfg, max_iter)
-    stats, equity, _, _ = forecast_runs(table, runs, cfg)
+    stats, equity, _, _ = forecast_runs(table, runs, cfg, pool_series=pool_series)
     evals = runs.join(stats, list(RUN), "left").select(
         *CYCLE, "sweep_i", "run_id", "rs_5m", "rs_30m", "rs_1d",
         F.col("sharpe_daily").alias("eval_sharpe_daily"), F.col("max_drawdown").alias("eval_max_dd"),
         F.col("n_trades").alias("eval_trades"), F.col("active_bars").alias("eval_active_bars"),
-        F.col("gate_coverage").alias("eval_gate_coverage"), F.col("final_equity").isNotNull().alias("engine_ok"))
+        F.col("gate_coverage").alias("eval_gate_coverage"), "engine_ok", "engine_err")
     return evals, equity
 
 
 def walk_forward(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig(), n_sweeps: int | None = None,
-                 max_iter: int | None = None, required=I.INDICATORS):
+                 max_iter: int | None = None, required=I.INDICATORS, pool_series: bool = False):
     """Sweep every cycle, select runs, trade them in the next window, combine and compound.
 
     Returns (selection, global curve per series, evaluation table).  Cycles do not wait
@@ -250,7 +260,7 @@ def walk_forward(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig
     """
     features = feature_tables(bars, cfg, required)
     windows = stage(windows, "windows")
-    evals, _ = sweep(bars, windows, cfg, n_sweeps, max_iter, required, features)
+    evals, _ = sweep(bars, windows, cfg, n_sweeps, max_iter, required, features, pool_series)
     evals = stage(evals, "evals")
     chosen = W.choose_candidates(W.candidate_tiers(evals, cfg), cfg, cycle=CYCLE)
     scored = W.ema_score(stage(W.robust_score(chosen, cfg), "scores"), cfg, by=("series_id",))
@@ -260,7 +270,7 @@ def walk_forward(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig
         *CYCLE, F.format_string("LIVE%d", "place").alias("run_id"), "rs_5m", "rs_30m", "rs_1d", "trade_start",
         "trade_end", F.col("trade_end").alias("data_end"), "place", "seed_triplet", "cycle_id"), "live")
     table = label_runs(features, live, cfg, max_iter)
-    _, equity, _, _ = forecast_runs(table, live, cfg)
+    _, equity, _, _ = forecast_runs(table, live, cfg, pool_series=pool_series)
     curves = equity.select(*CYCLE, F.col("run_id").alias("member"), "ts", "equity")
     curves = stage(W.rescale_to_1(curves, [*CYCLE, "member"]), "live_curves")
     combined = W.combine_curves(curves, rows_per_day=48, cycle=CYCLE)

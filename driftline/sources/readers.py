@@ -17,10 +17,15 @@ BAR_SCHEMA = T.StructType(
 )
 
 
+#: Where a row of a file source comes from.
+PLACE = ("_metadata.file_path", "_metadata.file_block_start")
+
+
 def _csv_as_text(spark: SparkSession, path) -> DataFrame:
     """CSV with every column as text and the header trimmed and lower-cased."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    return raw.toDF(*[c.strip().lstrip("﻿").lower() for c in raw.columns])
+    names = [c.strip().lstrip("﻿").lower() for c in raw.columns]
+    return raw.select("*", *PLACE).toDF(*names, "_file", "_at")
 
 
 def clean_bars(raw: DataFrame, series_id: str | None = None) -> DataFrame:
@@ -29,7 +34,9 @@ def clean_bars(raw: DataFrame, series_id: str | None = None) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns {missing}, found {raw.columns}")
     key = F.col("series_id") if "series_id" in raw.columns else F.lit(series_id or "series")
-    numbered = raw.withColumn("_seq", F.monotonically_increasing_id())
+    # Order of rows: files by name, then their parts; the id counts within a part, whatever task reads it.
+    place = [F.col(c) for c in ("_file", "_at") if c in raw.columns]
+    numbered = raw.withColumn("_seq", F.struct(*place, F.monotonically_increasing_id().alias("_id")))
     typed = numbered.select(
         key.alias("series_id"),
         F.expr("try_cast(time AS timestamp_ntz)").alias("ts"),
@@ -46,6 +53,7 @@ def read_bars(spark: SparkSession, path, series_id: str | None = None, fmt: str
     if fmt == "csv":
         return clean_bars(_csv_as_text(spark, path), series_id)
     raw = spark.read.format(fmt).load(path)
+    raw = raw.select("*", *PLACE).toDF(*raw.columns, "_file", "_at")
     if "ts" in raw.columns and "time" not in raw.columns:
         raw = raw.withColumnRenamed("ts", "time")
     return clean_bars(raw, series_id)

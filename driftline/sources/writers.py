@@ -81,16 +81,21 @@ def read_pack(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, name))
 
 
-def experiment_record(equity: DataFrame, settings: dict, tag: str = "AutoRun", value: str = "eq_global") -> DataFrame:
-    """One row: final net value and Sharpe ratio of a global curve with its settings."""
-    figures = equity_sharpe(equity.withColumn("_all", F.lit(0)), value, ("_all",))
+def experiment_record(equity: DataFrame, settings: dict, tag: str = "AutoRun", value: str = "eq_global",
+                      keys=None) -> DataFrame:
+    """One row for each curve: its keys, final net value and Sharpe ratio, with the settings.
+
+    Curves are told apart by `keys`, if not given by series_id where the table has it.
+    """
+    keys = [c for c in ("series_id",) if c in equity.columns] if keys is None else list(keys)
+    figures = equity_sharpe(equity if keys else equity.withColumn("_all", F.lit(0)), value, tuple(keys or ["_all"]))
     return figures.select(
-        F.current_timestamp().alias("timestamp"), F.lit(tag).alias("tag"),
+        *keys, F.current_timestamp().alias("timestamp"), F.lit(tag).alias("tag"),
         *[F.lit(v).alias(k) for k, v in settings.items()],
         F.round("net_value", 4).alias("final_net_value"), F.round("sharpe", 4).alias("sharpe_ratio"),
         F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss").alias("run_id"))
 
 
 def append_experiment_log(equity: DataFrame, path: str, settings: dict, tag: str = "AutoRun",
-                          value: str = "eq_global") -> None:
-    experiment_record(equity, settings, tag, value).write.mode("append").parquet(path)
+                          value: str = "eq_global", keys=None) -> None:
+    experiment_record(equity, settings, tag, value, keys).write.mode("append").parquet(path)

@@ -78,6 +78,7 @@ def online_path_metrics(labels: DataFrame, cfg: RunConfig = RunConfig()) -> Data
     `seed` is NULL on ordinary rows.  A row with a seed document (and any ts before the
     first label) sets the state of its series; see `with_seed`.  Rows of one micro-batch
     are put in time order, so a series must not send older rows in a later batch.
+    A NULL label counts as -1, as in the batch form.
     """
     def step(key, frames: Iterator[pd.DataFrame], group: GroupState):
         st = json.loads(group.get[0]) if group.exists else new_state()
@@ -93,7 +94,7 @@ def online_path_metrics(labels: DataFrame, cfg: RunConfig = RunConfig()) -> Data
         yield pd.DataFrame(out, columns=["series_id", "ts", "state", "run_len_so_far", "avg_run_local",
                                          "exhaustion_ratio", "switch_rate_local"])
 
-    return labels.select("series_id", "ts", F.col("state").cast("int").alias("state"), "seed").groupBy(
+    return labels.select("series_id", "ts", F.coalesce(F.col("state").cast("int"), F.when(F.col("seed").isNull(), -1)).alias("state"), "seed").groupBy(
         "series_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
