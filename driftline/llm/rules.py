@@ -6,8 +6,8 @@ n_words < 10 or 100 * n_repeat_words > 20 * n_words.
 
 Method: two histograms for each document and each language,
 * classes of its characters: capitals, digits, sentence marks, symbols, white space, and all others;
-* its common words (lower case, without marks and symbols) and one cell for all other words. Common words of a language
-  make up at least COMMON of its words each, so there are at most 1 / COMMON of them.
+* its common words, unchanged, and one cell for all other words. Common words of a language make up at least COMMON of
+  its words each, so there are at most 1 / COMMON of them.
 A language's reference is summed over all its documents. The distance is the square root of the Jensen-Shannon
 divergence to base 2, between 0 and 1. A document fails if its class distance exceeds CLASS_LIMIT or its word distance
 WORD_LIMIT; the distances count from CLASS_LEAST characters and WORD_LEAST words on, because short texts stray by
@@ -29,8 +29,10 @@ COMMON = 0.005
 CLASS_LIMIT, CLASS_LEAST = 0.25, 400
 WORD_LIMIT, WORD_LEAST = 0.28, 120
 SHINGLE = 5
-#: Characters other than these are taken out to count a class.
-CLASSES = {"capital": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "mark": r"[^.,;:!?'\"()\-]+", "symbol": r"[^#*$%&|<>]+"}
+SYMBOLS = "[^#*$%&|<>]+"
+#: What is taken out to count the characters of a class: capitals, digits, sentence marks.
+CLASSES = (r"[^\p{Lu}]+", "[^0-9]+", r"[^.,;:!?'\"()\-]+")
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Languages whose references may be broadcast; a reference has at most 1 / COMMON words.
 LANGUAGES = 2000
 
@@ -40,21 +42,10 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("body"))
 
 
-def _classes(body: Column) -> Column:
-    """Characters of each class, in the order of CLASSES, then white space, then all others."""
-    counts = [F.length(F.regexp_replace(body, p, "")) for p in CLASSES.values()]
-    return F.array(*counts, F.length(body) - F.length(F.regexp_replace(body, SPACE, ""))).cast("array<long>")
-
-
 def _with_rest(parts: Column, total: Column) -> Column:
     return F.concat(parts, F.array(total - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)))
 
 
-def _plain_words(body: Column) -> Column:
-    """Words in lower case without marks and symbols; those that are nothing else are left out."""
-    return words(F.lower(F.regexp_replace(body, r"[.,;:!?'\"()\-#*$%&|<>]+", "")))
-
-
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms of counts with the same cells; 0 if either is empty."""
     def total(x):
@@ -68,40 +59,33 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))).otherwise(F.lit(0.0))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """A row for each language: lang, ref_classes, common (its common words), ref_words (their counts, then all others)."""
-    d = _texts(docs)
-    # Words and classes are counted in one pass; a class is a cell whose name no word can have.
-    names = [*CLASSES, "space", "characters"]
-    per_class = F.concat(_classes(F.col("body")), F.array(F.length("body").cast("long")))
-    cells = F.concat(F.transform(_plain_words(F.col("body")), lambda w: F.struct(w.alias("cell"), F.lit(1).cast("long").alias("n"))),
-                     F.transform(per_class, lambda n, i: F.struct(F.concat(F.lit(" "), i.cast("string")).alias("cell"), n.alias("n"))))
-    counts = d.select("lang", F.inline_outer(cells)).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    is_class = F.col("cell").startswith(" ")
-    class_sums = [F.sum(F.when(F.col("cell") == f" {i}", F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(names))]
-    totals = counts.groupBy("lang").agg(F.sum(F.when(~is_class, F.col("n")).otherwise(0)).alias("all_words"), *class_sums)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "cell"))
-    frequent = counts.where(~is_class).withColumn("rank", rank).where(F.col("rank") <= math.ceil(1 / COMMON))
-    common = (frequent.join(totals.select("lang", "all_words"), "lang").where(F.col("n") >= COMMON * F.col("all_words"))
-              .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells")))
-    sums = F.array(*[F.col(f"c{i}") for i in range(len(names) - 1)])
-    found = F.coalesce(F.col("cells.n"), F.expr("cast(array() as array<bigint>)"))
+def common_words(docs: DataFrame) -> DataFrame:
+    """A row for each language: lang, common (its common words), ref_words (their counts, then that of all others)."""
+    each = _texts(docs).select("lang", F.explode_outer(words(F.col("body"))).alias("word"))
+    counts = each.groupBy("lang", "word").agg(F.count("word").alias("n"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all_words"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    # No filter on words here: it would move below one use of the counts, and the texts would be read twice.
+    frequent = counts.withColumn("rank", rank).where(F.col("rank") <= math.ceil(1 / COMMON))
+    common = (frequent.join(totals, "lang").where((F.col("n") >= COMMON * F.col("all_words")) & (F.col("n") > 0))
+              .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("cells")))
     return totals.join(common, "lang", "left").select(
-        "lang", _with_rest(sums, F.col(f"c{len(names) - 1}")).alias("ref_classes"),
-        F.coalesce(F.col("cells.cell"), F.expr("cast(array() as array<string>)")).alias("common"),
-        _with_rest(found, F.col("all_words")).alias("ref_words"))
+        "lang", F.coalesce(F.col("cells.word"), F.expr("cast(array() as array<string>)")).alias("common"),
+        _with_rest(F.coalesce(F.col("cells.n"), F.expr("cast(array() as array<bigint>)")), F.col("all_words")).alias("ref_words"))
 
 
-def base_figures(d: DataFrame) -> DataFrame:
-    """Adds the base figures to rows of `body`, the text, never null."""
-    own = d.columns
+def base_figures(d: DataFrame, *keep: str) -> DataFrame:
+    """The base figures of rows with `body` (the text, never null) and `words`, beside the columns `keep`."""
     last = F.size("words") - SHINGLE + 1
-    d = d.withColumn("words", words(F.col("body")))
     d = d.withColumn("at", F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)")))
     # Hashes tell the many texts without a repeated window from the rest, whose windows are compared themselves:
     # sorted, a repeated one equals a neighbour; their starts in order give the words that they cover.
-    d = d.withColumn("hashes", F.transform("at", lambda i: F.xxhash64(F.slice("words", i, SHINGLE))))
-    d = d.withColumn("again", F.size(F.array_distinct("hashes")) < F.size("hashes"))
+    room = F.greatest(last, F.lit(0))
+    d = d.withColumn("ones", F.transform("words", lambda w: F.xxhash64(w)))
+    d = d.withColumn("twos", F.zip_with(F.slice("ones", 1, room + 2), F.slice("ones", 2, room + 2), lambda x, y: F.xxhash64(x, y)))
+    d = d.withColumn("fours", F.zip_with(F.slice("twos", 1, room), F.slice("twos", 3, room), lambda x, y: F.xxhash64(x, y)))
+    d = d.withColumn("fives", F.zip_with("fours", F.slice("ones", 5, room), lambda x, y: F.xxhash64(x, y)))
+    d = d.withColumn("again", F.size(F.array_distinct("fives")) < F.size("fives"))
     d = d.withColumn("ordered", F.when(F.col("again"), F.array_sort(F.transform("at", lambda i: F.struct(
         F.array_join(F.slice("words", i, SHINGLE), " ").alias("w"), i.alias("i"))))))
 
@@ -113,9 +97,9 @@ def base_figures(d: DataFrame) -> DataFrame:
         (a["n"] + F.least(F.lit(SHINGLE), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     d = d.withColumn("lines", F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.select(
-        *own, F.size("words").cast("long").alias("n_words"),
+        *keep, "body", "words", F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("body", SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("body", CLASSES["symbol"], "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("body", SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("again"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
     return d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -124,17 +108,24 @@ def base_figures(d: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, store: Store | None = None) -> DataFrame:
     """doc_id, the base figures, base_failed, class_distance, word_distance, kept: a row for each document."""
     store = store or Store(docs.sparkSession)
-    refs = store.put(references(docs))
-    d = join_small(base_figures(_texts(docs)), refs, "lang", most=LANGUAGES)
-    d = d.withColumn("plain", _plain_words(F.col("body")))
-    d = d.withColumn("hits", F.concat(F.lit(" "), F.array_join(F.filter("plain", lambda w: F.array_contains("common", w)), "  "), F.lit(" ")))
+    frequent = store.put(common_words(docs))
+    d = _texts(docs).withColumn("words", words(F.col("body")))
+    d = join_small(base_figures(d, "doc_id", "lang"), frequent, "lang", most=LANGUAGES)
+    d = d.withColumn("hits", F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: F.array_contains("common", w)), "  "), F.lit(" ")))
     counts = F.transform("common", lambda w: F.floor(
         (F.length("hits") - F.length(F.replace(F.col("hits"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long"))
-    d = d.withColumn("word_cells", _with_rest(counts, F.size("plain").cast("long")))
-    d = d.withColumn("class_cells", _with_rest(_classes(F.col("body")), F.length("body").cast("long")))
-    d = d.withColumn("class_distance", F.when(F.length("body") >= CLASS_LEAST, distance(F.col("class_cells"), F.col("ref_classes"))).otherwise(0.0))
-    d = d.withColumn("word_distance", F.when(F.size("plain") >= WORD_LEAST, distance(F.col("word_cells"), F.col("ref_words"))).otherwise(0.0))
+    size = F.length("body").cast("long")
+    classes = F.array(*[F.length(F.regexp_replace("body", p, "")).cast("long") for p in CLASSES], F.col("n_symbols"), size - F.col("word_chars"))
+    d = d.withColumn("classes", classes).select(
+        "doc_id", "lang", *FIGURES, "base_failed", size.alias("size"), _with_rest(F.col("classes"), size).alias("classes"),
+        "ref_words", _with_rest(counts, F.col("n_words")).alias("word_cells"))
+    d = d.withColumn("word_distance", F.when(F.col("n_words") >= WORD_LEAST, distance(F.col("word_cells"), F.col("ref_words"))).otherwise(0.0))
+    rows = store.put(d.drop("ref_words", "word_cells"))
+
+    sums = F.array(*[F.sum(F.get("classes", i)) for i in range(len(CLASSES) + 3)])
+    refs = store.put(rows.groupBy("lang").agg(sums.alias("ref_classes")))
+    d = join_small(rows, refs, "lang", most=LANGUAGES)
+    d = d.withColumn("class_distance", F.when(F.col("size") >= CLASS_LEAST, distance(F.col("classes"), F.col("ref_classes"))).otherwise(0.0))
     fine = (F.col("class_distance") <= CLASS_LIMIT) & (F.col("word_distance") <= WORD_LIMIT)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
-                    (~F.col("base_failed") & fine).alias("kept"))
+    return d.select("doc_id", *FIGURES, "base_failed", F.round("class_distance", 6).alias("class_distance"),
+                    F.round("word_distance", 6).alias("word_distance"), (~F.col("base_failed") & fine).alias("kept"))
