@@ -94,13 +94,13 @@ def online_path_metrics(labels: DataFrame, cfg: RunConfig = RunConfig()) -> Data
         yield pd.DataFrame(out, columns=["series_id", "ts", "state", "run_len_so_far", "avg_run_local",
                                          "exhaustion_ratio", "switch_rate_local"])
 
-    return labels.select("series_id", "ts", F.coalesce(F.col("state").cast("int"), F.when(F.col("seed").isNull(), -1)).alias("state"), "seed").groupBy(
+    return labels.select("series_id", "ts", F.coalesce(F.col("state").try_cast("int"), F.when(F.col("seed").isNull(), -1)).alias("state"), "seed").groupBy(
         "series_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def with_seed(labels: DataFrame) -> DataFrame:
     """Label rows in the shape `online_path_metrics` takes."""
-    return labels.select("series_id", "ts", F.col("state").cast("int").alias("state"),
+    return labels.select("series_id", "ts", F.col("state").try_cast("int").alias("state"),
                          F.lit(None).cast("string").alias("seed"))
 
 
