@@ -5,14 +5,17 @@ five-word shingles; with fewer words, the whole sequence; without words (null or
 the document is linked with nothing. Two documents are linked if |A and B| >= 0.75 |A or B|.
 
 1. `signatures`: documents of one word sequence are one node (a 128-bit key), so copies meet in a partial
-   aggregate and not in a bucket. A SuperMinHash signature of 128 slots gives 32 bands of 4 slots.
+   aggregate and not in a bucket. A SuperMinHash signature of 128 slots gives 32 bands of 4 slots, and a sketch of two bits per slot. A parity map
+   of the set, 1024 bits, bounds how far two sets differ: an exact bound, sharp up to some thousand shingles.
 2. `near_links`: nodes that share a band are candidates. They are tested in rounds against samples of each bucket
    that grow until they are the whole bucket, and only across components found so far. A group of thousands of
    variants is thus joined by a few tests each; every pair not already joined by a path is tested in the end.
-3. A test compares the full sets of both documents.
+   Sizes, sketches or parity maps that the similarity rules out end a test within the join of the buckets, so documents
+   that only share a common passage, or variants too far apart, do not become pairs.
+3. A test then compares the full sets of both documents.
 4. `components` joins the links.
 
-A pair at similarity 0.75 shares no band with probability 5e-6, less above it.
+A pair at similarity 0.75 shares no band with probability 5e-6 and fails by its sketch with 1e-7; less above it.
 
 Shingles are 64-bit hashes; two of a document collide with probability 1e-11 at 20,000 words.
 Repeated rows get the same result. A null doc_id takes part but never becomes a component's name, unless no
@@ -26,17 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Store, components, text_key
+from .common import Store, components, fresh, join_small, text_key
 from .hashing import U, STEP, gram_hashes, mix, word_hashes
 
 SLOTS, BANDS, SHINGLE = 128, 32, 5
 #: Similarity as a fraction of whole numbers.
 SIMILAR = (75, 100)
+#: Two sketches of linked nodes differ in at most so many slots: 24 on average at similarity 0.75, deviation under 4.4.
+DIFFER = 47
 #: A bucket is first tested against about so many of its nodes; each round takes so many times more.
-FIRST, FACTOR = 8, 8
+FIRST, FACTOR = 8, 32
+#: Bits of a set's parity map.
+PARITY = 1024
 #: Shingles that a task handles at once.
 CHUNK = 100_000
 
@@ -91,8 +98,28 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each slot, as two 64-bit numbers for every 64 slots: the first bits, then the second."""
+    bits = mix(signature.view(U))
+    out = []
+    for at in range(0, SLOTS, 64):
+        for shift in (U(0), U(1)):
+            plane = (bits[:, at:at + 64] >> shift) & U(1)
+            out.append((plane << np.arange(64, dtype=U)).sum(axis=1, dtype=U))
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _parities(elements: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """A map of PARITY bits for each set: whether an odd number of its elements falls on a bit.
+
+    The maps of two sets differ in at most as many bits as the sets in elements.
+    """
+    odd = np.bincount(owner * PARITY + (elements & U(PARITY - 1)).astype(np.int64), minlength=count * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(count, PARITY), axis=1).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, key -> doc_id, key, node, n_shingles, bands"""
+    """doc_id, text, key -> doc_id, key, node, n_shingles, bands, sketch"""
     for batch in batches:
         ids, keys, texts = batch["doc_id"], batch["key"], batch["text"]
         start = 0
@@ -107,23 +134,24 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += 1
             lengths = np.array([len(s) for s in sets])
             full = np.flatnonzero(lengths)
-            bands = [None] * len(sets)
+            bands, sketch = [None] * len(sets), [None] * len(sets)
             if len(full):
-                signature = superminhash(np.concatenate([sets[i] for i in full]),
-                                         np.repeat(np.arange(len(full)), lengths[full]), len(full))
-                for i, row in zip(full, _band_keys(signature)):
-                    bands[i] = row
+                elements, owner = np.concatenate([sets[i] for i in full]), np.repeat(np.arange(len(full)), lengths[full])
+                signature = superminhash(elements, owner, len(full))
+                drawn = np.concatenate([_sketches(signature), _parities(elements, owner, len(full))], axis=1)
+                for i, keys_of, bits in zip(full, _band_keys(signature), drawn):
+                    bands[i], sketch[i] = keys_of, bits
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(start, at - start), keys.slice(start, at - start), pa.array(nodes, pa.binary()),
-                 pa.array(lengths, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "node", "n_shingles", "bands"])
+                 pa.array(lengths, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "node", "n_shingles", "bands", "sketch"])
             start = at
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), node (of the words; null without words), n_shingles, bands: a row for each document."""
+    """doc_id, key (of the text), node (of the words; null without words), n_shingles, bands, sketch: a row for each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    return rows.mapInArrow(_signed, "doc_id long, key binary, node binary, n_shingles long, bands array<long>")
+    return rows.mapInArrow(_signed, "doc_id long, key binary, node binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,35 +173,51 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(F.col("both") * SIMILAR[1] >= SIMILAR[0] * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
-def _close_sizes(a: str, b: str):
-    return (F.col(a) * SIMILAR[1] >= F.col(b) * SIMILAR[0]) & (F.col(b) * SIMILAR[1] >= F.col(a) * SIMILAR[0])
+def _may_link(a: str, b: str):
+    """Sizes and sketches of two nodes, columns named `a` and `b` with _n and _s, allow the similarity."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    s, t = F.col(f"{a}_s"), F.col(f"{b}_s")
+    odd = [F.bit_count(F.get(s, i).bitwiseXOR(F.get(t, i))) for i in range(SLOTS // 32, SLOTS // 32 + PARITY // 64)]
+    differ = [F.bit_count(F.get(s, i).bitwiseXOR(F.get(t, i)).bitwiseOR(F.get(s, i + 1).bitwiseXOR(F.get(t, i + 1))))
+              for i in range(0, SLOTS // 32, 2)]
+    sizes = (n * SIMILAR[1] >= m * SIMILAR[0]) & (m * SIMILAR[1] >= n * SIMILAR[0])
+    # Similar sets of n and m elements differ in at most (n + m) (1 - s) / (1 + s) elements, and so in that many bits.
+    return sizes & (sum(differ[1:], differ[0]) <= DIFFER) & (
+        sum(odd[1:], odd[0]) * (SIMILAR[1] + SIMILAR[0]) <= (n + m) * (SIMILAR[1] - SIMILAR[0]))
 
 
 def near_links(docs: DataFrame, signed: DataFrame, store: Store) -> DataFrame:
     """(node, component) of the nodes that are linked with another one. `signed` is the stored result of `signatures`."""
-    copies = signed.where("node IS NOT NULL").groupBy("node", "n_shingles").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"), F.first("bands").alias("bands"))
-    banded = copies.select("node", "n_shingles", "first.doc_id", "first.key", F.explode("bands").alias("bucket"))
+    full = signed.where("node IS NOT NULL")
+    banded = full.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
     live = store.put(banded.join(shared, "bucket"))
 
-    wanted = live.select("node", "doc_id", "key").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text", text_key(F.col("text")).alias("k"))
-    chosen = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).select("node", "text")
-    # A repeated row without a doc_id would give a node twice; the links are made distinct anyway.
-    sets = store.put(chosen.mapInArrow(_sets, "node binary, items array<long>"))
+    # What the tests need of each node in a shared bucket: size, sketch, and one of its documents.
+    wanted = live.select("node").distinct()
+    info = store.put(full.select("node", "n_shingles", "sketch", "doc_id", "key").join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("s"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")))
+    chosen = info.select("node", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
+    # A repeated row gives its node twice; links are made distinct anyway.
+    sets = store.put(texts.join(chosen, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+                     .select("node", "text").mapInArrow(_sets, "node binary, items array<long>"))
+
+    def described(name: str) -> DataFrame:
+        return info.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("s").alias(f"{name}_s"))
 
     # First one test for each node: the least node of its buckets, which most of a group share.
-    pairs = live.where("node <> least").groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a"))
-    edges = store.put(_verified(pairs, sets).distinct())
+    nearest = (live.where("node <> least").select(F.col("node").alias("b"), F.col("least").alias("a")).distinct()
+               .join(described("a"), "a").join(described("b"), "b").where(_may_link("a", "b")))
+    edges = store.put(_verified(nearest.groupBy("b").agg(F.min("a").alias("a")), sets).distinct())
     labels = components(store, edges)
 
-    place = F.conv(F.hex(F.substring("node", 1, 6)), 16, 10).cast("double") / float(2 ** 48)
-    reach = FIRST
-    low = 0
+    place = F.conv(F.hex(F.substring("b", 1, 6)), 16, 10).cast("double") / float(2 ** 48)
+    members = store.put(live.select("bucket", "members", F.col("node").alias("b")).join(described("b"), "b").withColumn("place", place))
+    low, reach = 0, FIRST
     while True:
-        known = (live.select("bucket", "node", "n_shingles", "members", place.alias("place"))
-                 .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        known = (members.join(labels.select(F.col("node").alias("b"), "component"), "b", "left")
+                 .withColumn("component", F.coalesce("component", "b")))
         open_ = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         now = store.put(known.join(open_, "bucket"))
         most = now.agg(F.max("members")).first()[0]
@@ -181,24 +225,24 @@ def near_links(docs: DataFrame, signed: DataFrame, store: Store) -> DataFrame:
             store.drop(now)
             break
         # Nodes have a random place in [0, 1); places from low/members to reach/members are this round's sample.
-        sample = (now.where((F.col("place") * F.col("members") >= low) & (F.col("place") * F.col("members") < reach))
-                  .select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("a_n"),
-                          F.col("component").alias("a_c"), F.col("place").alias("a_place")))
-        tests = (now.join(sample, "bucket")
-                 .where((F.col("component") != F.col("a_c")) & _close_sizes("n_shingles", "a_n")
-                        & ((F.col("place") > F.col("a_place")) | ((F.col("place") == F.col("a_place")) & (F.col("node") > F.col("a")))))
-                 .select("a", F.col("node").alias("b")).distinct())
+        at = F.col("place") * F.col("members")
+        sample = now.where((at >= low) & (at < reach)).select(
+            "bucket", F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("b_s").alias("a_s"),
+            F.col("component").alias("a_c"), F.col("place").alias("a_place"))
+        later = (F.col("place") > F.col("a_place")) | ((F.col("place") == F.col("a_place")) & (F.col("b") > F.col("a")))
+        tests = (now.join(sample, "bucket").where((F.col("component") != F.col("a_c")) & later & _may_link("a", "b"))
+                 .select("a", "b").distinct())
         found = store.put(_verified(tests, sets).distinct())
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         after = components(store, stars.union(found))
         store.drop(now, found, labels)
         labels, low, reach = after, reach, reach * FACTOR
-    store.drop(live, sets, edges)
+    store.drop(live, info, sets, edges, members)
     return labels
 
 
 def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
-    """doc_id, key, n_shingles, component_id, kept: a row for each document."""
+    """doc_id, key, node, n_shingles, component_id, kept: a row for each document."""
     store = store or Store(docs.sparkSession)
     signed = store.put(signatures(docs))
     labels = near_links(docs, signed, store)
@@ -209,6 +253,25 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     names = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     named = store.put(groups.join(names, "component").select("node", "component_id"))
     out = rows.join(named, "node", "left").select(
-        "doc_id", "key", "n_shingles",
+        "doc_id", "key", "node", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def keep_first(docs: DataFrame, store: Store | None = None) -> DataFrame:
+    """One row of `docs` for each component, all columns: that of the least doc_id, of repeated rows the first by text.
+
+    Documents without words stay, one for each doc_id. Where no document of a component has a doc_id, each of its word
+    sequences stays once.
+    """
+    store = store or Store(docs.sparkSession)
+    found = near_duplicates(docs, store).where("kept")
+    key, place, k, i = (fresh(docs, c) for c in ("text_key", "place", "chosen_key", "chosen_id"))
+    chosen = store.put(found.groupBy(F.col("doc_id").alias(i), "node").agg(F.min("key").alias(k), F.count("*").alias("rows")).select(i, k, "rows"))
+    d = docs.withColumn(key, text_key(F.col("text")))
+    same = (F.col(key) == F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
+    single = d.join(chosen.where("rows = 1").select(i, k), same, "left_semi")
+    # Only rows that stand there more than once need to be told apart, and these are few.
+    order = Window.partitionBy("doc_id", key).orderBy(*[F.col(c).cast("string") for c in docs.columns])
+    again = join_small(d, chosen.where("rows > 1").select(i, k), same, "left_semi").withColumn(place, F.row_number().over(order))
+    return single.select(*docs.columns).union(again.where(F.col(place) == 1).select(*docs.columns))
