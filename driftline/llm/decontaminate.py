@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, Store, join_small, text_key, words
+from .common import SMALL_ROWS, Store, fresh, join_small, text_key, words
 
 SHINGLE = 5
 SIMILAR = (75, 100)
@@ -137,3 +137,11 @@ def flag(docs: DataFrame, benchmark: DataFrame, store: Store | None = None) -> D
     return join_small(rows, found, "key").select(
         "doc_id", hit.alias("contaminated"), (~hit).alias("kept"),
         F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")).alias("item_ids"), "similarity")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, store: Store | None = None) -> DataFrame:
+    """The rows of `docs` that hold no item, all columns."""
+    found = matches(docs, benchmark, store or Store(docs.sparkSession))
+    key = fresh(docs, "text_key")
+    gone = found.select(F.col("key").alias(key))
+    return join_small(docs.withColumn(key, text_key(F.col("text"))), gone, key, "left_anti").select(*docs.columns)

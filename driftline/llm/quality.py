@@ -122,8 +122,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, store: Store, host: str = "so
 def keep_good(docs: DataFrame, labels: DataFrame, store: Store | None = None, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of `docs` that are not rejected, all columns."""
     store = store or Store(docs.sparkSession)
+    key, gone_id, gone_key = (fresh(docs, c) for c in ("text_key", "gone_id", "gone_key"))
     out = store.put(posteriors(docs, labels, store, host, path).where(~F.col("kept")).select(
-        F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct())
-    key = fresh(docs, "text_key")
-    same = (F.col(key) == F.col("gone_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id"))
+        F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key)).distinct())
+    same = (F.col(key) == F.col(gone_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id))
     return join_small(docs.withColumn(key, text_key(F.col("text"))), out, same, "left_anti", ROWS).select(*docs.columns)

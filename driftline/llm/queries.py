@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, quality, rules, secrets, substring, toxicity, urls, wrapper
+from . import bpe, decontaminate, minhash, quality, rules, secrets, sql, substring, toxicity, urls, wrapper
 from .common import Store, join_small, read
 
 QUERIES: dict = {}
@@ -54,7 +55,7 @@ def wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(read(spark, sf_dir, "pages"))
 
 
-@query("op5_divergence")
+@query("op5_divergence", sql.DIVERGENCE)
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
@@ -119,7 +120,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-@query("op8_superminhash")
+@query("op8_superminhash", sql.NEAR_DUPLICATES)
 def superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -129,6 +130,11 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@query("op10_substring")
+@query("op10_substring", sql.REPEATED)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
