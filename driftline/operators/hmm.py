@@ -18,6 +18,8 @@ same steps, with the same numbers, inside one task, so it costs no job per step.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -248,7 +250,11 @@ def _fit_whole(k: int, d: int, min_covar: float, tol: float, max_iter: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0][PARAMETERS].to_dict()
-        chunks = pdf[["model_id", "seq", "blk", "x"]].sort_values("blk").reset_index(drop=True)
+        # Chunks as many as they are long make the loops along a chunk and over the chunks shortest.
+        x = np.concatenate(pdf.sort_values("blk")["x"].to_list())
+        size = d * max(16, math.isqrt(len(x) // d))
+        parts = [x[i:i + size] for i in range(0, len(x), size)]
+        chunks = pd.DataFrame({"model_id": row["model_id"], "seq": row["seq"], "blk": range(len(parts)), "x": parts})
         while not row["done"] and row["iters"] < max_iter:
             now = chunks.assign(**{p: [row[p]] * len(chunks) for p in moving})
             moved = pd.concat(_transfers(k, d, False)([now]))
