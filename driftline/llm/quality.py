@@ -71,15 +71,20 @@ def _odds(rate: Column) -> Column:
     return F.log(rate / (1 - rate))
 
 
-def _shrunk(children: DataFrame, parents: DataFrame, key: list[str]) -> DataFrame:
-    """`children` (n, bad, and the columns `key` of the parent) with `rate`, their posterior mean under the parent's (`prior`)."""
-    moments = children.join(parents.select(*key, "prior"), key).groupBy(*key, "prior").agg(
+def _shrunk(children: DataFrame, key: list[str]) -> DataFrame:
+    """`children` (n, bad, the parent's rate as `prior`, and its name, `key`) with `rate`, their posterior mean."""
+    moments = children.groupBy(*key, "prior").agg(
         F.sum("n").alias("all"), F.count("*").alias("k"), F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), F.lit(2))).alias("spread"))
     chance = F.col("prior") * (1 - F.col("prior"))
     between = F.col("spread") / F.col("all") - chance * F.col("k") / F.col("all")
     strength = F.when(between > 0, F.least(F.lit(MOST), F.greatest(F.lit(LEAST), chance / between - 1))).otherwise(F.lit(MOST))
     known = moments.select(*key, "prior", strength.alias("strength"))
-    return children.join(known, key).withColumn("rate", (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength")))
+    if key:
+        children = children.join(known.drop("prior"), key)
+    else:
+        only = known.first()
+        children = children.withColumn("strength", F.lit(only["strength"] if only else MOST))
+    return children.withColumn("rate", (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength")))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, store: Store, host: str = "source", path: str = "lang") -> DataFrame:
@@ -109,10 +114,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, store: Store, host: str = "so
 
     bad = F.coalesce(F.col("label").cast("double"), _chance(F.col("evidence") + _odds(F.lit(rate))))
     paths = store.put(d.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(bad).alias("bad")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("one", F.lit(1))
-    top = hosts.groupBy("one").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior"))
-    hosts = _shrunk(hosts, top, ["one"]).select("host", F.col("rate").alias("prior"))
-    sites = store.put(_shrunk(paths, hosts, ["host"]).select("host", "path", F.col("prior").alias("host_rate"), F.col("rate").alias("path_rate")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).first()
+    hosts = hosts.withColumn("prior", F.lit((total["bad"] + 0.5) / (total["n"] + 1)))
+    hosts = _shrunk(hosts, []).select("host", F.col("rate").alias("prior"))
+    sites = store.put(_shrunk(paths.join(hosts, "host"), ["host"]).select("host", "path", F.col("prior").alias("host_rate"), F.col("rate").alias("path_rate")))
     d = join_small(d, sites, ["host", "path"], most=SITES)
     d = d.withColumn("posterior", _chance(F.col("evidence") + _odds(F.col("path_rate"))))
     return d.select("doc_id", "key", *[F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate", "posterior")],

@@ -68,9 +68,9 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     def posterior(prior: Column, strength: Column) -> Column:
         return (F.col("bad") + strength * prior) / (F.col("pages") + strength)
 
-    top = _level(suffixes.withColumn("all", F.lit(0)), "all").select(F.col("p_rate").alias("m"), F.col("strength").alias("s"))
-    # One row: joined on a constant key.
-    suffixes = suffixes.withColumn("one", F.lit(0)).join(top.withColumn("one", F.lit(0)), "one").select("suffix", posterior(F.col("m"), F.col("s")).alias("m"))
+    top = _level(suffixes.withColumn("all", F.lit(0)), "all").first()
+    m, s = (top["p_rate"], top["strength"]) if top else (0.5, MOST)
+    suffixes = suffixes.select("suffix", posterior(F.lit(m), F.lit(s)).alias("m"))
     of_suffix = suffixes.join(_level(domains, "suffix").select("suffix", F.col("strength").alias("s")), "suffix")
     of_domain = (domains.join(of_suffix, "suffix").select("domain", posterior(F.col("m"), F.col("s")).alias("m"))
                  .join(_level(h, "domain").select("domain", F.col("strength").alias("s")), "domain"))

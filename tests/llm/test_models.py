@@ -84,9 +84,9 @@ def test_quality(spark, awkward, nothing):
 
 def test_shrinkage(spark):
     """A sparse path stays near its host, a large one near its own rate."""
-    children = spark.createDataFrame([("h", "big", 1000, 900.0), ("h", "tiny", 1, 1.0), ("h", "other", 1000, 100.0)], "host string, path string, n long, bad double")
-    parents = spark.createDataFrame([("h", 0.5)], "host string, prior double")
-    rate = {r["path"]: r["rate"] for r in quality._shrunk(children, parents, ["host"]).collect()}
+    rows = [("h", 0.5, "big", 1000, 900.0), ("h", 0.5, "tiny", 1, 1.0), ("h", 0.5, "other", 1000, 100.0)]
+    children = spark.createDataFrame(rows, "host string, prior double, path string, n long, bad double")
+    rate = {r["path"]: r["rate"] for r in quality._shrunk(children, ["host"]).collect()}
     assert rate["big"] > 0.85 and rate["other"] < 0.15 and 0.5 < rate["tiny"] < 0.75
 
 
