@@ -4,10 +4,8 @@ Words are lower-cased runs of characters other than \\x20 and \\x09-\\x0D; shing
 item of n words if some window of n of its words has a weighted Jaccard similarity of 0.75 or more with it (a shingle
 weighs as often as it occurs). A document shorter than the item is one window.
 
-1. Seeds: a window that similar shares at least three quarters of the item's shingles, so only documents with that many
-   can hold it. Shared shingles say where the item would begin; windows of the item's size begin there and, unless all
-   shingles of the item are met there, up to a seventh of its length to either side: a window further off has lost more
-   than the similarity allows.
+1. Seeds: a window that similar shares most of the item's shingles, in any order, so only windows of the item's size with
+   that many shared shingles can hold it. All of them are looked at, but of a window equal to the item only one.
 2. Fingerprints: 64-bit SimHash of each window and item, weighted as above. Of RADIUS + 1 blocks of bits at least one
    is equal in any two fingerprints within RADIUS, so a join on (size, block, value) finds them all.
 3. Exact similarity of the shingles decides.
@@ -74,40 +72,55 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return d.withColumn("size", F.size("item_hashes") + SHINGLE - 1).withColumn("fingerprint", simhash(F.col("item_hashes")))
 
 
-def _windows(docs: DataFrame, seeds: DataFrame, store: Store) -> DataFrame:
-    """key, size, hashes: the windows to look at for the items of `seeds` (item, size, hash, at), which is broadcast."""
-    d = _with_shingles(docs.select("text", text_key(F.col("text")).alias("key")))
-    d = d.select("key", "hashes", F.posexplode_outer("hashes").alias("p", "hash")).join(F.broadcast(seeds), "hash")
-    slack = F.floor(F.col("size") / 7).cast("int")
+def _begins(places: Column, total: Column, wanted: Column, least: Column) -> Column:
+    """Where windows of `wanted` shingles begin that hold at least `least` of `places` (sorted), each once.
+
+    Such a window holds places j to j + least - 1 for some j, so it begins at place j or before, near enough to reach the
+    last of them. Windows that begin at place j - 1 or before and reach it as well were counted with j - 1.
+    """
+    end = F.greatest(total - wanted, F.lit(0))
+
+    def run(j: Column) -> Column:
+        low = F.greatest(F.get(places, j + least - 1) - wanted + 1, F.lit(0), F.coalesce(F.get(places, j - 1) + 1, F.lit(0)))
+        high = F.least(F.get(places, j), end)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - least), run))
+
+
+def _windows(docs: DataFrame, items: DataFrame, seeds: DataFrame, store: Store) -> DataFrame:
+    """key, size, begin, hashes: the windows to look at for the items of `seeds` (item, size, hash), which is broadcast."""
+    texts = docs.select("text", text_key(F.col("text")).alias("key"))
+    d = _with_shingles(texts).select("key", "hashes", F.size("hashes").alias("total"))
+    d = d.select("key", "total", F.posexplode_outer("hashes").alias("p", "hash")).join(F.broadcast(seeds), "hash")
+    met = d.groupBy("key", "item", "size").agg(F.collect_set("p").alias("places"), F.first("total").alias("total"))
     wanted = F.col("size") - SHINGLE + 1
-    start = F.col("p") - F.col("at")
-    d = d.select("key", "item", "size", "at", start.alias("start"), F.size("hashes").alias("total"),
-                 F.greatest(start - slack, F.lit(0)).alias("from"), "hashes")
-    # The stretch that the windows lie in, with room for those pushed back by an end of the document.
-    d = d.withColumn("from", F.least("from", F.greatest(F.col("total") - wanted, F.lit(0))))
-    d = d.withColumn("stretch", F.slice("hashes", F.col("from") + 1, wanted + 2 * slack)).drop("hashes")
-    met = store.put(d.groupBy("key", "item", "size", "start").agg(
-        F.collect_set("at").alias("ats"), F.count("*").alias("hits"),
-        *[F.first(c).alias(c) for c in ("total", "from", "stretch")]))
-    enough = met.groupBy("key", "item", "size").agg(F.sum("hits").alias("hits")).where(F.col("hits") * SIMILAR[1] >= wanted * SIMILAR[0])
-    met = met.join(enough.select("key", "item"), ["key", "item"], "left_semi")
-    reach = F.when(F.size("ats") >= wanted, F.lit(0)).otherwise(slack)
-    each = met.select("key", "size", "from", "stretch", "total", "start", F.explode(F.sequence(-reach, reach)).alias("shift"))
-    begin = F.least(F.greatest(F.col("start") + F.col("shift"), F.lit(0)), F.greatest(F.col("total") - wanted, F.lit(0)))
-    each = each.select("key", "size", begin.alias("begin"), "from", "stretch").withColumn(
-        "hashes", F.slice("stretch", F.greatest(F.col("begin") - F.col("from"), F.lit(0)) + 1, wanted))
-    return each.select("key", "size", "begin", "hashes").dropDuplicates(["key", "size", "begin"])
+    # The weight in common at the least, of what window and item weigh together.
+    least = F.ceil((F.least("total", wanted) + wanted) * SIMILAR[0] / F.lit(sum(SIMILAR))).cast("int")
+    met = met.withColumn("least", least).where(F.size("places") >= F.col("least"))
+    met = met.withColumn("places", F.array_sort("places"))
+    begins = store.put(met.select("key", "item", "size", _begins(F.col("places"), F.col("total"), wanted, F.col("least")).alias("begins"))
+                       .where("size(begins) > 0"))
+    held = store.put(begins.select("key").distinct())
+    once = join_small(texts, held, "key", "left_semi").groupBy("key").agg(F.first("text", ignorenulls=True).alias("text"))
+    each = (_with_shingles(once).select("key", "hashes").join(begins, "key")
+            .join(items.select("item", "item_hashes"), "item"))
+    # Nothing is more similar than an equal window.
+    each = each.withColumn("equal", F.filter("begins", lambda b: F.slice("hashes", b + 1, wanted) == F.col("item_hashes")))
+    each = each.withColumn("begins", F.when(F.size("equal") > 0, F.slice("equal", 1, 1)).otherwise(F.col("begins")))
+    each = each.select("key", "size", "hashes", F.explode("begins").alias("begin"))
+    return each.select("key", "size", "begin", F.slice("hashes", F.col("begin") + 1, wanted).alias("hashes")).dropDuplicates(["key", "size", "begin"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame:
     """key (of the text), item_ids, similarity: the texts that hold an item. Stored."""
     items = store.put(_items(benchmark))
-    seeds = store.put(items.select("item", "size", F.posexplode("item_hashes").alias("at", "hash")))
+    seeds = store.put(items.select("item", "size", F.explode(F.array_distinct("item_hashes")).alias("hash")))
     parts = max(1, -(-seeds.count() // SMALL_ROWS))
     found = []
     for i in range(parts):
         own = seeds if parts == 1 else seeds.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i)
-        found.append(_windows(docs, own, store))
+        found.append(_windows(docs, items, own, store))
     windows = found[0]
     for more in found[1:]:
         windows = windows.unionByName(more)

@@ -116,6 +116,22 @@ def test_decontamination_matches_brute_force(spark, awkward, nothing):
     assert decontaminate.flag(table, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_finds_moved_parts(spark):
+    items = [(i, prose(n, 700 + i)) for i, n in enumerate([40, 40, 41, 60, 24, 40])] + [(6, "again and " * 14)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        h, q = len(w) // 2, len(w) // 4
+        for j, moved in enumerate([w[h:] + w[:h], w[q:] + w[:q], w[h + q:] + w[:h + q], w[h:] + w[q:h] + w[:q], w[h:] + ["odd"] + w[:h]]):
+            for k, (before, after) in enumerate([(30, 30), (0, 0), (200, 3)]):
+                docs.append((100 * i + 10 * j + k, " ".join([prose(before, 800 + j), *moved, prose(after, 900 + k)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x["doc_id"]: x for x in decontaminate.flag(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got[0]["contaminated"] and got[0]["similarity"] == 0.8
+    for d, t in docs:
+        assert set(got[d]["item_ids"]) == brute.held_items(t, items), d
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items = [(i, prose(20, 300 + i)) for i in range(10)]
     monkeypatch.setattr(decontaminate, "SMALL_ROWS", 40)
