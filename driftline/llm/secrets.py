@@ -81,8 +81,10 @@ def _parts(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), body.alias("body"))
     d = d.withColumn("certain", _certain(F.col("body")))
     d = d.withColumn("weak", _weak(F.col("body"), F.col("certain")))
-    ends = F.aggregate(F.transform(F.split("body", SCOPE, -1), F.length), F.expr("cast(array(0) as array<int>)"),
-                       lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 1)))
+    # A separator is as long as it is: blank lines hold any number of blanks.
+    lengths = F.zip_with(F.transform(F.split("body", SCOPE, -1), F.length), F.transform(F.regexp_extract_all("body", F.lit(SCOPE), F.lit(0)), F.length),
+                         lambda passage, separator: passage + F.coalesce(separator, F.lit(0)))
+    ends = F.aggregate(lengths, F.expr("cast(array(0) as array<int>)"), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     return d.withColumn("scopes", F.when(F.size("weak") > 0, ends)).select("doc_id", "key", "certain", "weak", "scopes")
 
 
