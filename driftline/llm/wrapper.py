@@ -5,8 +5,10 @@
 2. A host's distinct expressions are aligned, a bounded number at a time, in rounds: equal parts stay, parts that only one side
    has become optional, parts that repeat become groups. The result, the host's wrapper, is again an expression of
    the same kind, so a host with any number of pages is reduced like a tree; no task holds a host's pages.
-3. In the wrapper, the main region is the innermost element that holds the largest share of the host's text, counted outside of links
-   and of boilerplate elements (navigation, headers, footers, forms, ...). An `article` or `main` element is preferred.
+3. In the wrapper, the main region is the innermost container that leaves out nothing but links, boilerplate elements (navigation,
+   headers, footers, forms, ...), text that several pages of the host hold unchanged in the same place, and scraps of a few
+   characters that are no headings, items or cells and make up a fifth of the text at most. Tables are containers only where they lay out the page. An `article` or
+   `main` element that holds most of the text is preferred.
 4. Extraction walks each page once and keeps the slots inside the region, block by block; without the region in a page, the
    slots outside of boilerplate.
 
@@ -17,6 +19,7 @@ element around them; a void element (`br`, `img`, ...) has no content.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -43,7 +46,12 @@ BLOCK = frozenset(
 #: Elements whose class says nothing about what they hold.
 WHOLE = frozenset("html body article main".split())
 #: Elements that can be a region.
-CONTAINER = frozenset("html body div section td tr table tbody center main article blockquote".split())
+CONTAINER = frozenset("html body div section center main article".split())
+#: Elements that can be one where nothing but these is around them.
+LAYOUT = frozenset("html body center table tbody tr td".split())
+#: Characters of a scrap, and elements whose text is none.
+SCRAP = 10
+WORTH = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre code".split())
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu head".split()) | RAW
 NOTICE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|social|sidebar|side|"
@@ -192,12 +200,15 @@ def fold(parts: list[list]) -> list[list]:
     return [["", "+", list(flat.values())]]
 
 
-def expression(page: str) -> tuple[str, dict[str, int]]:
-    """A page's own expression, and the characters of text below each path of labels (`a` marks text in links)."""
+def expression(page: str) -> tuple[str, dict[str, tuple[int, int | None, int]]]:
+    """A page's own expression, and for each path of labels the characters of text below it (`a` marks text in links), a hash
+    of that text, none for different texts, and the characters of the longest."""
     root: list = ["page", "", []]
     open_: list[list] = [root]
     path: tuple[str, ...] = ()
     weight: dict[str, int] = {}
+    texts: dict[str, str | None] = {}
+    longest: dict[str, int] = {}
     for around, kind, text in walk(page):
         around = around[:DEPTH]
         if around != path:
@@ -218,14 +229,21 @@ def expression(page: str) -> tuple[str, dict[str, int]]:
                 open_[-1][2].append(["#", "", []])
             key = "/".join(around)
             weight[key] = weight.get(key, 0) + len(text)
+            longest[key] = max(longest.get(key, 0), len(text.strip()))
+            texts[key] = text if texts.get(key, text) == text else None
     while open_:
         done = open_.pop()
         done[2] = fold(done[2])
-    return written(root), weight
+    return written(root), {k: (n, None if texts[k] is None else _hash(texts[k]), longest[k]) for k, n in weight.items()}
 
 
-def region(wrapper: str, weight: dict[str, int]) -> tuple[list[str], list[str]]:
-    """(path of the main region, labels that look like boilerplate but hold most of the text)"""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def region(wrapper: str, weight: dict[str, int], template: frozenset, scraps: frozenset) -> tuple[list[str], list[str]]:
+    """(path of the main region, labels that look like boilerplate but hold most of the text); the text of `template`, some of the
+    paths, is the same on several pages, that of `scraps` is short."""
     paths = {tuple(k.split("/")) if k else (): n for k, n in weight.items()}
     plain = {p: n for p, n in paths.items() if not any(x in BOILERPLATE for x in p)}
     total = sum(plain.values())
@@ -236,6 +254,13 @@ def region(wrapper: str, weight: dict[str, int]) -> tuple[list[str], list[str]]:
     def held(path: tuple[str, ...]) -> int:
         return sum(n for p, n in text.items() if p[:len(path)] == path)
 
+    own = {p: n for p, n in text.items() if "/".join(p) not in template}
+    slight = {p for p in own if "/".join(p) in scraps and not WORTH & {x.partition(".")[0] for x in p}}
+
+    def spared(path: tuple[str, ...], child: tuple[str, ...]) -> bool:
+        beside = [p for p in own if p[:len(path)] == path and p[:len(child)] != child]
+        return slight.issuperset(beside) and 5 * sum(own[p] for p in beside) <= held(path)
+
     for name in ("article", "main"):
         tops = {p[:p.index(name) + 1] for p in text if name in p}
         if tops and 2 * max(map(held, tops)) > total:
@@ -243,9 +268,11 @@ def region(wrapper: str, weight: dict[str, int]) -> tuple[list[str], list[str]]:
     node, path = read_expression(wrapper), ()
     while True:
         inner = [y for x in node[2] for y in (x[2] if x[0] == "" else [x]) if y[0] != "#"]
-        inner = [x for x in inner if x[1] in ("", "?") and x[0].partition(".")[0] in CONTAINER]
+        allowed = CONTAINER | LAYOUT if all(x in LAYOUT for x in path) else CONTAINER
+        inner = [x for x in inner if x[1] in ("", "?") and x[0].partition(".")[0] in allowed]
         best = max(inner, key=lambda x: held((*path, x[0])), default=None)
-        if best is None or 10 * held((*path, best[0])) < 6 * held(path):
+        # Text beside the child, on any page, belongs to the article as well.
+        if best is None or held((*path, best[0])) == 0 or not spared(path, (*path, best[0])):
             return list(path), sorted(trusted)
         node, path = best, (*path, best[0])
 
@@ -275,9 +302,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [expression(x.as_py() or "") for x in batch["html"]]
         yield pa.RecordBatch.from_arrays(
-            [batch["host"], pa.array([e for e, _ in found], pa.string()),
-             pa.array([[{"path": k, "chars": n} for k, n in w.items()] for _, w in found], pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64())])))],
-            names=["host", "expression", "weights"])
+            [batch["host"], batch["page"], pa.array([e for e, _ in found], pa.string()),
+             pa.array([[{"path": k, "chars": n, "hash": h, "longest": m} for k, (n, h, m) in w.items()] for _, w in found],
+                      pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("hash", pa.int64()), ("longest", pa.int64())])))],
+            names=["host", "page", "expression", "weights"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +322,11 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [region(e.as_py(), {w["path"]: w["chars"] for w in ws.as_py()}) for e, ws in zip(batch["expression"], batch["weights"])]
+        found = []
+        for e, each in zip(batch["expression"], batch["weights"]):
+            ws = each.as_py()
+            found.append(region(e.as_py(), {w["path"]: w["chars"] for w in ws}, frozenset(w["path"] for w in ws if w["template"]),
+                                frozenset(w["path"] for w in ws if w["longest"] <= SCRAP)))
         yield pa.RecordBatch.from_arrays(
             [batch["host"], batch["expression"], pa.array([r for r, _ in found], pa.list_(pa.string())), pa.array([t for _, t in found], pa.list_(pa.string()))],
             names=["host", "wrapper", "region", "trusted"])
@@ -302,8 +334,8 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame, store: Store) -> DataFrame:
     """host, wrapper, region, trusted from `pages` (host, html). Stored."""
-    described = store.put(pages.select("host", "html").mapInArrow(
-        _described, "host string, expression string, weights array<struct<path:string,chars:long>>"))
+    described = store.put(pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(
+        _described, "host string, page long, expression string, weights array<struct<path:string,chars:long,hash:long,longest:long>>"))
     live = store.put(described.select("host", "expression").distinct())
     while True:
         counts = store.put(live.groupBy("host").agg(F.count("*").alias("n")).where("n > 1"))
@@ -316,9 +348,12 @@ def wrappers(pages: DataFrame, store: Store) -> DataFrame:
         after = store.put(several.select("host", "expressions").mapInArrow(_aligned, "host string, expression string").union(single).distinct())
         store.drop(live, counts)
         live = after
-    weights = (described.select("host", F.inline("weights")).groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-               .groupBy("host").agg(F.collect_list(F.struct("path", "chars")).alias("weights")))
-    found = live.join(weights, "host", "left").withColumn("weights", F.coalesce("weights", F.expr("cast(array() as array<struct<path:string,chars:bigint>>)")))
+    # One text at a path, on pages that are not copies of each other.
+    template = (F.count("hash") == F.count("*")) & (F.min("hash") == F.max("hash")) & (F.min("page") < F.max("page"))
+    weights = (described.select("host", "page", F.inline("weights")).groupBy("host", "path")
+               .agg(F.sum("chars").alias("chars"), F.coalesce(template, F.lit(False)).alias("template"), F.max("longest").alias("longest"))
+               .groupBy("host").agg(F.collect_list(F.struct("path", "chars", "template", "longest")).alias("weights")))
+    found = live.join(weights, "host", "left").withColumn("weights", F.coalesce("weights", F.expr("cast(array() as array<struct<path:string,chars:bigint,template:boolean,longest:bigint>>)")))
     return store.put(found.mapInArrow(_regions, "host string, wrapper string, region array<string>, trusted array<string>"))
 
 

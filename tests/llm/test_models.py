@@ -193,3 +193,19 @@ def test_wrappers_of_a_large_host(spark, monkeypatch):
     got = wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert all(r["text"].startswith("text text") and "m" not in r["text"].split() for r in got)
     assert all("\ns" not in r["text"] for r in got)
+
+
+def test_wrapper_keeps_text_beside_the_largest_part(spark):
+    long, short = "a long passage " * 20, "a short passage " * 9
+    bodies = [f"<div class=post><p>{short}1</p><blockquote>{long}</blockquote><p>{short}2</p></div>",
+              f"<div class=post><p>{short}1</p><table><tr><td>{long}</td></tr></table></div>",
+              f"<div><section><p>{short}1</p></section><div><p>{long}</p></div></div>",
+              f"<div><ul><li><a href=x>elsewhere</a></li></ul><div><p>{short}1</p><p>{long}</p></div></div>",
+              f"<table><tr><td><a href=x>elsewhere</a></td></tr></table><div><p>{short}1</p><p>{long}</p></div>"]
+    own = [f"<section><p>{short}{i}</p></section><div><p>{long}{i}</p></div><div class=x><b>All rights are reserved by the owner of the host</b></div>" for i in range(2)]
+    rows = [(i, f"http://h{i}.org/p", f"<html><body><nav><a href=/>home</a></nav>{b}<footer>bottom</footer></body></html>") for i, b in enumerate(bodies)]
+    rows += [(10 + i, "http://own.org/", f"<body>{b}</body>") for i, b in enumerate(own)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "\n".join([f"{short}1", long.strip(), f"{short}2"])
+    assert all(got[i] == "\n".join([f"{short}1", long.strip()]) for i in range(1, 5))
+    assert all(f"{short}{i}" in got[10 + i] and f"{long}{i}" in got[10 + i] for i in range(2))
