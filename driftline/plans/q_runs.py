@@ -1,7 +1,7 @@
 """Queries without an SQL counterpart: model fitting and whole runs.
 
-They work on the whole tables and all cycles, and models are fitted until they converge; few trees and seeds
-keep them affordable.
+They work on the whole tables and all cycles, and models are fitted until they converge. Sweeps and forests have the
+default seeds, trees and limits, and take accordingly long.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ SMALL = replace(
     min_ic=-1.0, min_r2=-1e9, stability_min=0.0, clamp_run_max=1.0, clamp_switch_min=1.0, exhaustion_min=0.0,
     exhaustion_max=1e9, step_days=5, min_trades_eval=1, min_active_eval=1, max_dd_eval=1.0, max_coverage_eval=1.0)
 ITERATIONS = None
+# The sweeps: shorter windows as well, but states, trees, seeds and limits as by default.
+WINDOWS = ("ma_fast", "ma_slow", "vol_short", "vol_long", "min_count_30m", "history_start", "step_days")
+FULL = replace(RunConfig(), **{name: getattr(SMALL, name) for name in WINDOWS})
 
 
 def daily_features(spark, folder):
@@ -77,7 +80,7 @@ def super_regimes(spark, folder):
 def forecast_by_state(spark, folder):
     """A forest per quantile state on daily features; validation metrics per state."""
     from ..operators.labels import quantile_states
-    cfg = replace(RunConfig(), n_trees=10, history_start="1995-01-01 00:00:00", trade_days=200, min_leaf=20)
+    cfg = replace(RunConfig(), history_start="1995-01-01 00:00:00", trade_days=200)
     names = tuple(c for c in U.FORECAST_FEATURES if c in I.INDICATORS) + ("ma_gap",)
     feats = K.stage(daily_features(spark, folder).drop("idx"), "features")
     rows = quantile_states(feats, "log_ret_1", 6, "super_state", rows_per_day=1)
@@ -97,11 +100,12 @@ def event_windows(spark, folder):
 
 @query("sweep")
 def sweep(spark, folder):
-    """Two seed triplets evaluated in every cycle, with the selector's tier flags."""
+    """All seed triplets evaluated in every cycle, with the selector's tier flags."""
     from ..operators import walkforward as W
     bars = K.stage(events_bars(spark, folder, "5 minutes"), "bars")
-    evals, _ = U.sweep(bars, event_windows(spark, folder), SMALL, 2, ITERATIONS, U.BASE_FEATURES)
-    out = W.robust_score(W.candidate_tiers(evals, SMALL), SMALL)
+    # The other indicators need up to 60 bars, more than the daily timeframe has.
+    evals, _ = U.sweep(bars, event_windows(spark, folder), FULL, None, ITERATIONS, U.BASE_FEATURES)
+    out = W.robust_score(W.candidate_tiers(evals, FULL), FULL)
     return out.select("series_id", long("cycle_no").alias("cycle_no"), "run_id", "strict", "relaxed",
                       *[long(c).alias(c) for c in ("eval_trades", "eval_active_bars")],
                       *rounded(4, "eval_sharpe_daily", "eval_max_dd", "eval_gate_coverage", "robust_score"))
@@ -109,7 +113,7 @@ def sweep(spark, folder):
 
 @query("walk_forward")
 def walk_forward(spark, folder):
-    """All cycles, two seed triplets: selection, trading of the next window, compounding."""
+    """All cycles and seed triplets: selection, trading of the next window, compounding."""
     bars = K.stage(events_bars(spark, folder, "5 minutes"), "bars")
-    _, curve, _ = U.walk_forward(bars, event_windows(spark, folder), SMALL, 2, ITERATIONS, U.BASE_FEATURES)
+    _, curve, _ = U.walk_forward(bars, event_windows(spark, folder), FULL, None, ITERATIONS, U.BASE_FEATURES)
     return curve.select("series_id", time_text().alias("ts"), long("cycle_no").alias("cycle_no"), *rounded(6, "eq_global"))

@@ -43,3 +43,34 @@ def test_one_run(spark, tmp_path):
     assert S.read_pack(spark, folder, "base_models").count() == 3
     assert S.read_pack(spark, folder, "super_models").count() == 1
     assert S.read_pack(spark, folder, "path_seed").count() == 1
+
+
+def test_registered_runs_are_whole(monkeypatch):
+    from dataclasses import fields
+    from unittest.mock import MagicMock
+
+    import pytest
+
+    from driftline.config import RunConfig
+    from driftline.plans import q_runs
+
+    class Stop(Exception):
+        pass
+
+    for name in ("K", "M", "U", "daily_features", "events_bars", "event_windows"):
+        monkeypatch.setattr(q_runs, name, MagicMock())
+    monkeypatch.setattr("driftline.operators.labels.quantile_states", MagicMock())
+    q_runs.U.sweep.side_effect = q_runs.U.walk_forward.side_effect = q_runs.M.fit_per_state.side_effect = Stop
+    usual = RunConfig()
+
+    def shortened(cfg):
+        return {f.name for f in fields(cfg) if getattr(cfg, f.name) != getattr(usual, f.name)}
+
+    for run, called in ((q_runs.sweep, q_runs.U.sweep), (q_runs.walk_forward, q_runs.U.walk_forward)):
+        with pytest.raises(Stop):
+            run(None, None)
+        cfg, seeds = called.call_args[0][2:4]
+        assert shortened(cfg) <= set(q_runs.WINDOWS) and (seeds or cfg.n_sweeps) == usual.n_sweeps
+    with pytest.raises(Stop):
+        q_runs.forecast_by_state(None, None)
+    assert shortened(q_runs.M.fit_per_state.call_args[0][2]) <= {"history_start", "trade_days"}
