@@ -99,3 +99,23 @@ def test_frames_and_merge():
 def test_clashing_columns(spark, awkward):
     table = awkward.limit(3).selectExpr("*", "'x' AS segment", "'x' AS place", "'x' AS radix")
     assert A.align(table, *FILES).count() == 3
+
+
+def test_both_encoders_agree(tokenizers):
+    """Every character beside a letter, a space and a digit; and runs on both sides of the bound."""
+    with open(FILES[0], encoding="utf-8") as f, open(FILES[1], "rb") as g:
+        aligner = A.Aligner(f.read(), g.read())
+    assert aligner.by_rank is not None
+    texts = ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}\n" for c in range(low, low + 64) if not 0xD800 <= c < 0xE000) for low in range(0, 0x30000, 64)]
+    texts += ["x" * n + " y" * 3 for n in (A.LONG_RUN, A.LONG_RUN + 1, 30000)] + ["a" + " " * n + "b" for n in (A.LONG_RUN, 5000)]
+    texts += ["can't we'll I'd they're \u2019s 'S 'LL", "<|endoftext|>", "\t\r\n \u00a0\u3000 x"]
+    want = [e.ids for e in tokenizers[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [aligner._encode_a(t) for t in texts] == want
+
+
+def test_other_vocabularies_have_no_rank_encoder():
+    import json
+    with open(FILES[0], encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}, {"model": {**spec["model"], "merges": spec["model"]["merges"][::-1]}}):
+        assert A._by_rank({**spec, **change}) is None
