@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store, components, fresh, join_small, text_key
@@ -44,6 +44,8 @@ DIFFER = 47
 FIRST, FACTOR = 8, 32
 #: Bits of a set's parity map.
 PARITY = 1024
+#: What a text with words holds.
+WORD = r"[^\x20\x09-\x0D]"
 #: Shingles that a task handles at once.
 CHUNK = 100_000
 
@@ -261,17 +263,19 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
 def keep_first(docs: DataFrame, store: Store | None = None) -> DataFrame:
     """One row of `docs` for each component, all columns: that of the least doc_id, of repeated rows the first by text.
 
-    Documents without words stay, one for each doc_id. Where no document of a component has a doc_id, each of its word
-    sequences stays once.
+    Rows without words are in no component and stay, repeated ones as well. Where no document of a component has a doc_id,
+    each of its word sequences stays once.
     """
     store = store or Store(docs.sparkSession)
-    found = near_duplicates(docs, store).where("kept")
-    key, place, k, i = (fresh(docs, c) for c in ("text_key", "place", "chosen_key", "chosen_id"))
+    found = near_duplicates(docs, store).where("kept AND node IS NOT NULL")
+    key, k, i = (fresh(docs, c) for c in ("text_key", "chosen_key", "chosen_id"))
     chosen = store.put(found.groupBy(F.col("doc_id").alias(i), "node").agg(F.min("key").alias(k), F.count("*").alias("rows")).select(i, k, "rows"))
-    d = docs.withColumn(key, text_key(F.col("text")))
+    some = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    d = docs.where(some).withColumn(key, text_key(F.col("text")))
     same = (F.col(key) == F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
     single = d.join(chosen.where("rows = 1").select(i, k), same, "left_semi")
-    # Only rows that stand there more than once need to be told apart, and these are few.
-    order = Window.partitionBy("doc_id", key).orderBy(*[F.col(c).cast("string") for c in docs.columns])
-    again = join_small(d, chosen.where("rows > 1").select(i, k), same, "left_semi").withColumn(place, F.row_number().over(order))
-    return single.select(*docs.columns).union(again.where(F.col(place) == 1).select(*docs.columns))
+    # Only rows that stand there more than once need to be told apart; they meet in partial aggregates.
+    order = F.struct(*[F.col(c).cast("string") for c in docs.columns])
+    again = join_small(d, chosen.where("rows > 1").select(i, k), same, "left_semi").groupBy("doc_id", key).agg(
+        F.min_by(F.struct(*docs.columns), order).alias(k))
+    return docs.where(~some).union(single.select(*docs.columns)).union(again.select(*[F.col(f"{k}.`{c}`") for c in docs.columns]))

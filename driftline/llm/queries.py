@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, decontaminate, minhash, mixing, quality, rules, secrets, sql, substring, toxicity, urls, wrapper
+from . import align, bpe, decontaminate, minhash, mixing, quality, rules, secrets, sql, substring, toxicity, trie, urls, wrapper
 from .common import Store, join_small, read
 
 QUERIES: dict = {}
@@ -140,6 +140,11 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+@query("op12_trie", sql.TRIE)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 @query("op13_alignment")
 def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

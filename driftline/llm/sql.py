@@ -80,3 +80,34 @@ j AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
        NOT base_failed AND cd <= {rules.CLASS_LIMIT} AND wd <= {rules.WORD_LIMIT} AS kept FROM j
 """
+
+#: The trie of conversations: prefixes as lists of (role, text); the checksum of a number's decimal text bit by bit.
+TRIE = """
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce("text", '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce("text", '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, l, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 4 AS h
+  FROM own),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), coalesce(c.l[c.h + 1:], [])) AS l
+  FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, len(l) AS n, d, l[1:d] AS prefix FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT row_number() OVER () AS id, * FROM (
+    SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+    FROM p GROUP BY d, prefix)),
+up AS (SELECT id, d AS own_d, k, prefix[1:k] AS prefix FROM (SELECT id, d, prefix, unnest(range(d + 1)) AS k FROM nodes)),
+pairs AS (SELECT v.id AS above, up.id AS below, up.own_d - v.d AS steps FROM up JOIN nodes v ON v.d = up.k AND v.prefix = up.prefix),
+kids AS (SELECT above AS id, count(CASE WHEN steps = 1 THEN 1 END) AS n_children FROM pairs GROUP BY above),
+valued AS (
+  SELECT n.*, n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[d].t, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM nodes n JOIN kids USING (id)),
+sums AS (
+  SELECT above AS id, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(b.saved) AS saved_tokens
+  FROM pairs JOIN valued b ON b.id = below GROUP BY above)
+SELECT v.conv_id, v.d AS depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN sums s USING (id) LEFT JOIN pairs q ON q.below = v.id AND q.steps = 1 LEFT JOIN nodes a ON a.id = q.above
+"""

@@ -6,15 +6,19 @@
    has become optional, parts that repeat become groups. The result, the host's wrapper, is again an expression of
    the same kind, so a host with any number of pages is reduced like a tree; no task holds a host's pages.
 3. In the wrapper, the main region is the innermost container that leaves out nothing but links, boilerplate elements (navigation,
-   headers, footers, forms, ...), text that several pages of the host hold unchanged in the same place, and scraps of a few
-   characters that are no headings, items or cells and make up a fifth of the text at most. Tables are containers only where they lay out the page. An `article` or
-   `main` element that holds most of the text is preferred.
+   headers, footers, forms, ...) and text that several pages of the host hold unchanged in the same place. A slot beside a
+   container, one whose text varies, is article text, however short. Tables are containers only where they lay out the page. An
+   `article` or `main` element that holds most of the text is preferred.
 4. Extraction walks each page once and keeps the slots inside the region, block by block; without the region in a page, the
    slots outside of boilerplate.
 
 Within a block white space is one space; character references are decoded; blocks are joined by one line feed. A null or empty page
 has no text. A null url counts as an empty host. Pages of one host and equal html get equal texts. Unclosed elements end with the
-element around them; a void element (`br`, `img`, ...) has no content.
+element around them; a void element (`br`, `img`, ...) has no content. `noscript`, `template`, `svg` and `select` are left out up to their
+end tag; where there is none, only the tag is.
+
+An expression keeps PARTS parts of a sequence apart; a longer one becomes a repeated group of its different parts, and elements below
+DEPTH levels count as their ancestor on that level. Both only make the region wider than it could be: no text is lost by them.
 """
 
 from __future__ import annotations
@@ -39,7 +43,9 @@ PARTS, DEPTH = 48, 40
 WRAPPERS = 50_000
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Left out up to their end tag; without one only the tag is.
+HIDDEN = frozenset("noscript template svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -49,9 +55,6 @@ WHOLE = frozenset("html body article main".split())
 CONTAINER = frozenset("html body div section center main article".split())
 #: Elements that can be one where nothing but these is around them.
 LAYOUT = frozenset("html body center table tbody tr td".split())
-#: Characters of a scrap, and elements whose text is none.
-SCRAP = 10
-WORTH = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre code".split())
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu head".split()) | RAW
 NOTICE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|social|sidebar|side|"
@@ -66,6 +69,7 @@ SPACES = re.compile(r"\s+")
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", name, attributes), ("close", name, ""), ("text", text, "") in order; comments and raw content left out."""
     at, end = 0, len(page)
+    unclosed: set[str] = set()
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -81,6 +85,13 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if m[1]:
             yield "close", name, ""
             continue
+        if name in HIDDEN:
+            close = None if name in unclosed or m[3].endswith("/") else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif not m[3].endswith("/"):
+                unclosed.add(name)          # none comes later either
+            continue
         yield "open", name, m[3]
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -200,15 +211,14 @@ def fold(parts: list[list]) -> list[list]:
     return [["", "+", list(flat.values())]]
 
 
-def expression(page: str) -> tuple[str, dict[str, tuple[int, int | None, int]]]:
-    """A page's own expression, and for each path of labels the characters of text below it (`a` marks text in links), a hash
-    of that text, none for different texts, and the characters of the longest."""
+def expression(page: str) -> tuple[str, dict[str, tuple[int, int | None]]]:
+    """A page's own expression, and for each path of labels the characters of text below it (`a` marks text in links) and a hash
+    of that text, none for different texts."""
     root: list = ["page", "", []]
     open_: list[list] = [root]
     path: tuple[str, ...] = ()
     weight: dict[str, int] = {}
     texts: dict[str, str | None] = {}
-    longest: dict[str, int] = {}
     for around, kind, text in walk(page):
         around = around[:DEPTH]
         if around != path:
@@ -229,21 +239,20 @@ def expression(page: str) -> tuple[str, dict[str, tuple[int, int | None, int]]]:
                 open_[-1][2].append(["#", "", []])
             key = "/".join(around)
             weight[key] = weight.get(key, 0) + len(text)
-            longest[key] = max(longest.get(key, 0), len(text.strip()))
             texts[key] = text if texts.get(key, text) == text else None
     while open_:
         done = open_.pop()
         done[2] = fold(done[2])
-    return written(root), {k: (n, None if texts[k] is None else _hash(texts[k]), longest[k]) for k, n in weight.items()}
+    return written(root), {k: (n, None if texts[k] is None else _hash(texts[k])) for k, n in weight.items()}
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def region(wrapper: str, weight: dict[str, int], template: frozenset, scraps: frozenset) -> tuple[list[str], list[str]]:
+def region(wrapper: str, weight: dict[str, int], template: frozenset) -> tuple[list[str], list[str]]:
     """(path of the main region, labels that look like boilerplate but hold most of the text); the text of `template`, some of the
-    paths, is the same on several pages, that of `scraps` is short."""
+    paths, is the same on several pages: no slot of the wrapper."""
     paths = {tuple(k.split("/")) if k else (): n for k, n in weight.items()}
     plain = {p: n for p, n in paths.items() if not any(x in BOILERPLATE for x in p)}
     total = sum(plain.values())
@@ -255,11 +264,9 @@ def region(wrapper: str, weight: dict[str, int], template: frozenset, scraps: fr
         return sum(n for p, n in text.items() if p[:len(path)] == path)
 
     own = {p: n for p, n in text.items() if "/".join(p) not in template}
-    slight = {p for p in own if "/".join(p) in scraps and not WORTH & {x.partition(".")[0] for x in p}}
 
     def spared(path: tuple[str, ...], child: tuple[str, ...]) -> bool:
-        beside = [p for p in own if p[:len(path)] == path and p[:len(child)] != child]
-        return slight.issuperset(beside) and 5 * sum(own[p] for p in beside) <= held(path)
+        return not any(p[:len(path)] == path and p[:len(child)] != child for p in own)
 
     for name in ("article", "main"):
         tops = {p[:p.index(name) + 1] for p in text if name in p}
@@ -271,7 +278,7 @@ def region(wrapper: str, weight: dict[str, int], template: frozenset, scraps: fr
         allowed = CONTAINER | LAYOUT if all(x in LAYOUT for x in path) else CONTAINER
         inner = [x for x in inner if x[1] in ("", "?") and x[0].partition(".")[0] in allowed]
         best = max(inner, key=lambda x: held((*path, x[0])), default=None)
-        # Text beside the child, on any page, belongs to the article as well.
+        # A text slot beside the child, on any page, belongs to the article as well, however short.
         if best is None or held((*path, best[0])) == 0 or not spared(path, (*path, best[0])):
             return list(path), sorted(trusted)
         node, path = best, (*path, best[0])
@@ -303,8 +310,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [expression(x.as_py() or "") for x in batch["html"]]
         yield pa.RecordBatch.from_arrays(
             [batch["host"], batch["page"], pa.array([e for e, _ in found], pa.string()),
-             pa.array([[{"path": k, "chars": n, "hash": h, "longest": m} for k, (n, h, m) in w.items()] for _, w in found],
-                      pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("hash", pa.int64()), ("longest", pa.int64())])))],
+             pa.array([[{"path": k, "chars": n, "hash": h} for k, (n, h) in w.items()] for _, w in found],
+                      pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("hash", pa.int64())])))],
             names=["host", "page", "expression", "weights"])
 
 
@@ -325,8 +332,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for e, each in zip(batch["expression"], batch["weights"]):
             ws = each.as_py()
-            found.append(region(e.as_py(), {w["path"]: w["chars"] for w in ws}, frozenset(w["path"] for w in ws if w["template"]),
-                                frozenset(w["path"] for w in ws if w["longest"] <= SCRAP)))
+            found.append(region(e.as_py(), {w["path"]: w["chars"] for w in ws}, frozenset(w["path"] for w in ws if w["template"])))
         yield pa.RecordBatch.from_arrays(
             [batch["host"], batch["expression"], pa.array([r for r, _ in found], pa.list_(pa.string())), pa.array([t for _, t in found], pa.list_(pa.string()))],
             names=["host", "wrapper", "region", "trusted"])
@@ -335,7 +341,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wrappers(pages: DataFrame, store: Store) -> DataFrame:
     """host, wrapper, region, trusted from `pages` (host, html). Stored."""
     described = store.put(pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(
-        _described, "host string, page long, expression string, weights array<struct<path:string,chars:long,hash:long,longest:long>>"))
+        _described, "host string, page long, expression string, weights array<struct<path:string,chars:long,hash:long>>"))
     live = store.put(described.select("host", "expression").distinct())
     while True:
         counts = store.put(live.groupBy("host").agg(F.count("*").alias("n")).where("n > 1"))
@@ -351,9 +357,9 @@ def wrappers(pages: DataFrame, store: Store) -> DataFrame:
     # One text at a path, on pages that are not copies of each other.
     template = (F.count("hash") == F.count("*")) & (F.min("hash") == F.max("hash")) & (F.min("page") < F.max("page"))
     weights = (described.select("host", "page", F.inline("weights")).groupBy("host", "path")
-               .agg(F.sum("chars").alias("chars"), F.coalesce(template, F.lit(False)).alias("template"), F.max("longest").alias("longest"))
-               .groupBy("host").agg(F.collect_list(F.struct("path", "chars", "template", "longest")).alias("weights")))
-    found = live.join(weights, "host", "left").withColumn("weights", F.coalesce("weights", F.expr("cast(array() as array<struct<path:string,chars:bigint,template:boolean,longest:bigint>>)")))
+               .agg(F.sum("chars").alias("chars"), F.coalesce(template, F.lit(False)).alias("template"))
+               .groupBy("host").agg(F.collect_list(F.struct("path", "chars", "template")).alias("weights")))
+    found = live.join(weights, "host", "left").withColumn("weights", F.coalesce("weights", F.expr("cast(array() as array<struct<path:string,chars:bigint,template:boolean>>)")))
     return store.put(found.mapInArrow(_regions, "host string, wrapper string, region array<string>, trusted array<string>"))
 
 

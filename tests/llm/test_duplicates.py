@@ -100,3 +100,11 @@ def test_repeats_match_brute_force(spark, awkward, nothing):
         assert collections.Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got) == collections.Counter(brute.repeated(given))
         assert all(sum(s["end"] - s["start"] for s in x["spans"]) == x["n_removed"] for x in got)
     assert substring.repeated_passages(nothing).count() == 0
+
+
+def test_rows_without_words_all_stay(spark):
+    rows = [(1, "", "en"), (1, "", "en"), (1, None, "en"), (2, " \n", "en"), (None, None, None), (None, None, None), (None, "", "x"),
+            (3, "some words that repeat here", "b"), (3, "some words that repeat here", "a"), (3, "some words that repeat here", None)]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = collections.Counter((r["doc_id"], r["text"], r["lang"]) for r in kept.collect())
+    assert got == collections.Counter(rows[:7] + [(3, "some words that repeat here", None)])

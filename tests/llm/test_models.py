@@ -209,3 +209,31 @@ def test_wrapper_keeps_text_beside_the_largest_part(spark):
     assert got[0] == "\n".join([f"{short}1", long.strip(), f"{short}2"])
     assert all(got[i] == "\n".join([f"{short}1", long.strip()]) for i in range(1, 5))
     assert all(f"{short}{i}" in got[10 + i] and f"{long}{i}" in got[10 + i] for i in range(2))
+
+
+def test_wrapper_drops_no_article_text(spark):
+    """Short text beside a larger part, and text behind elements that are never closed."""
+    cases = [("<div class=post><p>He left.</p><div><p>" + "long " * 40 + "</p></div><p>The end.</p></div>", "He left.\n" + ("long " * 40).strip() + "\nThe end."),
+             ("<article><p>One</p><svg viewBox='0 0 1 1'><path d=1><p>Two and more</p><p>Three</p></article>", "One\nTwo and more\nThree"),
+             ("<article><p>One</p><noscript><p>Two</p><noscript><p>Three</p></article>", "One\nTwo\nThree"),
+             ("<article><p>One</p><select><option><p>Two</p></article>", "One\nTwo"),
+             ("<article><p>Energy is <math><mi>E</mi> = mc</math> here</p></article>", "Energy is E = mc here"),
+             ("<article><p>a<svg><text>no</text></svg>b</p><p><select><option>x</select>c<noscript>d</noscript></p><svg/><p>e</p></article>", "ab\nc\ne")]
+    rows = [(i, f"http://h{i}.org/p", f"<html><body>{page}</body></html>") for i, (page, _) in enumerate(cases)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text for i, (_, text) in enumerate(cases)}
+
+
+def test_long_and_deep_pages_lose_nothing(spark):
+    """On both sides of PARTS and DEPTH."""
+    rows, want = [], {}
+    for i, n in enumerate((wrapper.PARTS - 2, wrapper.PARTS + 20)):
+        tags = ["p", "h2", "ul", "pre", "section"]
+        page = "".join(f"<{tags[k % 5]}>part {k}</{tags[k % 5]}>" for k in range(n))
+        rows.append((i, f"http://long{i}.org/", f"<body><article>{page}</article></body>"))
+        want[i] = "\n".join(f"part {k}" for k in range(n))
+    for i, n in enumerate((wrapper.DEPTH - 5, wrapper.DEPTH + 30), 2):
+        rows.append((i, f"http://deep{i}.org/", "<body><p>top</p>" + "<div>" * n + "low" + "</div>" * n + "<p>end</p></body>"))
+        want[i] = "top\nlow\nend"
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
