@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +9,7 @@ from ..config import FORECAST_FEATURES, RunConfig
 from ..functions import coerce_numeric, day_of, log_return, ratio
 from .blocks import attach, block_window, close_blocks, day_bucket, open_blocks, stage, with_position
 from .calendar import last_n_days, trading_days
+from .forest import fit_forests, predict_forests
 
 
 def forward_label(df: DataFrame, horizon: int = 4, out: str | None = None, keys=("series_id",)) -> DataFrame:
@@ -64,58 +61,41 @@ def time_split(df: DataFrame, window: DataFrame, cfg: RunConfig = RunConfig(), p
     start = F.lit(cfg.history_start).cast("timestamp_ntz")
     role = F.when((F.col("ts") >= F.col("trade_start")) & (F.col("ts") <= F.col("trade_end")), "trade").when(
         (F.col("ts") >= start) & (F.col("ts") < F.col("trade_start")), "history")
-    df = stage(df.withColumn("_role", role).filter("_role IS NOT NULL").drop("trade_start", "trade_end"), "split")
-    placed = with_position(df, keys + ["_role"], ["ts"], day_bucket(rows_per_day), "_pos")
-    sizes = df.groupBy(*keys, "_role").agg(F.count(F.lit(1)).alias("_size"))
-    placed = attach(placed, sizes, keys + ["_role"])
+    df = df.withColumn("_role", role).filter("_role IS NOT NULL").drop("trade_start", "trade_end")
+    # Only the times of the history are numbered; the rows then compare their time with those of the cuts.
+    history = stage(df.filter("_role = 'history'").select(*keys, "ts"), "history")
+    placed = with_position(history, keys, ["ts"], day_bucket(rows_per_day), "_pos")
+    sizes = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     cut = F.floor(F.col("_size") * cfg.train_frac)
+
+    def time_at(place):
+        return F.coalesce(F.min(F.when(F.col("_pos") >= place, F.col("ts"))), F.lit("9999-12-31").cast("timestamp_ntz"))
+
+    cuts = attach(placed, sizes, keys).groupBy(*keys).agg(
+        time_at(cut - purge_bars).alias("_train"), time_at(cut).alias("_validation"), time_at(F.col("_size") - purge_bars).alias("_end"))
     split = (
         F.when(F.col("_role") == "trade", "trade")
-        .when(F.col("_pos") < cut - purge_bars, "train")
-        .when((F.col("_pos") >= cut) & (F.col("_pos") < F.col("_size") - purge_bars), "validation")
+        .when(F.col("ts") < F.col("_train"), "train")
+        .when((F.col("ts") >= F.col("_validation")) & (F.col("ts") < F.col("_end")), "validation")
     )
-    out = placed.withColumn("split", split)
-    return out.filter("split IS NOT NULL").drop("_role", "_pos", "_size")
-
-
-def vectors(df: DataFrame, features=FORECAST_FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+    out = attach(df, cuts, keys, "left").withColumn("split", split)
+    return out.filter("split IS NOT NULL").drop("_role", "_train", "_validation", "_end")
 
 
 def fit_per_state(train: DataFrame, label: str, cfg: RunConfig = RunConfig(), features=FORECAST_FEATURES,
-                  state: str = "super_state", parallel: int = 4) -> dict:
-    """One random forest per label with enough rows: {label: model}.
+                  state: str = "super_state") -> DataFrame:
+    """One random forest per label with enough rows: a table of their nodes, see `forest`.
 
-    Forests are fitted by Spark; a few are submitted at the same time.  All series of
-    a label share one forest, so there are as many fits as labels.
+    `state` names the column that tells the forests apart; all of them grow in the same jobs.
     """
-    rows = stage(vectors(train, features).select(state, "features", F.col(label).alias("label")), "train")
-    counts = rows.groupBy(state).count().filter(F.col("count") >= cfg.min_train_rows).orderBy(state).collect()
-
-    def fit(s):
-        forest = RandomForestRegressor(
-            numTrees=cfg.n_trees, maxDepth=cfg.tree_depth, minInstancesPerNode=cfg.min_leaf,
-            featureSubsetStrategy="sqrt", seed=cfg.forest_seed)
-        return s, forest.fit(rows.filter(F.col(state) == s))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        return dict(pool.map(fit, [r[state] for r in counts]))
+    rows = stage(train.select(state, "ts", label, *features), "train")
+    return fit_forests(rows, state, label, features, cfg.n_trees, cfg.tree_depth, cfg.min_leaf, cfg.forest_seed, cfg.min_train_rows)
 
 
-def predict_per_state(df: DataFrame, models: dict, features=FORECAST_FEATURES, state: str = "super_state",
-                      out: str = "pred") -> DataFrame:
+def predict_per_state(df: DataFrame, models: DataFrame, features=FORECAST_FEATURES, state: str = "super_state",
+                      out: str = "pred", cfg: RunConfig = RunConfig()) -> DataFrame:
     """Rows of the labels that have a model, with its prediction."""
-    rows = vectors(df, features)
-    parts = []
-    for s, model in sorted(models.items()):
-        part = model.setPredictionCol(out).transform(rows.filter(F.col(state) == s))
-        parts.append(part.drop("features"))
-    if not parts:
-        return df.limit(0).withColumn(out, F.lit(None).cast("double"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return predict_forests(df, models, state, features, cfg.tree_depth, out)
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str, group=("super_state",)) -> DataFrame:

@@ -12,8 +12,15 @@ sequence is done in three steps, so that no task ever holds a whole sequence:
 The results are those of the recursions over the whole sequence.  Fitting repeats the
 steps: the chunks send sufficient statistics, Spark sums them per model, and the new
 parameters are written to the shared folder.  All models advance in the same jobs and
-leave when they have converged.  A model whose sequence has at most WHOLE chunks takes the
-same steps, with the same numbers, inside one task, so it costs no job per step.
+leave when they have converged.
+
+Models have an axis of their own everywhere: a chunk comes to a task once, with the
+parameters of all models of its sequence.  Sequences of at most WHOLE chunks are fitted in
+batches of models (`_fit_together`): all models of a batch take their steps at the same
+time, and no step is a job.  The numbers are those of the steps above.
+
+A model that breaks down (a covariance that is not positive definite, a likelihood that is
+not a number) starts again from its first parameters on the next rung of KINDS.
 """
 
 from __future__ import annotations
@@ -30,9 +37,16 @@ from ..functions import entropy
 from .blocks import attach, day_bucket, stage, stored, with_position
 
 CHUNK = 1024
-#: A sequence of at most so many chunks is fitted by one task; longer ones take the steps above in jobs.
+#: A sequence of at most so many chunks is fitted in a batch; longer ones take the steps above in jobs.
 WHOLE = 64
+#: Rows of a batch, counted once for each model.
+TOGETHER = 1 << 17
+#: Chunk matrices of a task that multiplies them along their sequences.
+MATRICES = 512
 TINY = 1e-250
+#: Kinds of covariances in the order they are tried, and the least variance of the later ones.
+KINDS = ("full", "diag", "wide")
+FLOORS = (0.0, 1e-2, 0.1)
 
 
 # -- numerics on stacks of equally long chunks ------------------------------
@@ -132,8 +146,17 @@ def best_path(logb, start, trans, first, entry, last):
 
 # -- rows <-> stacks --------------------------------------------------------
 
+def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A row for each chunk and model, from chunks with lists of models; the values of a chunk are shared."""
+    lists = [c for c in pdf.columns if c not in ("seq", "blk", "x")]
+    at = np.repeat(np.arange(len(pdf)), pdf["model_id"].map(len))
+    out = pdf[["seq", "blk", "x"]].iloc[at].reset_index(drop=True)
+    return out.assign(**{c: [v for row in pdf[c] for v in row] for c in lists})
+
+
 def _stacks(pdf: pd.DataFrame, k: int, d: int):
     """Groups of chunks of equal length, with their parameters, as arrays."""
+    pdf = _spread(pdf)
     for n, rows in pdf.groupby(pdf["x"].map(len)):
         x = np.stack(rows["x"].to_list()).reshape(len(rows), n // d, d)
         arr = {name: np.stack(rows[name].to_list()).reshape((len(rows),) + shape) for name, shape in
@@ -203,65 +226,268 @@ def _statistics(k: int, d: int):
                 c = len(rows)
                 flat = np.concatenate([ll[:, None], g0, gamma.sum(1), gx.reshape(c, -1), gxx.reshape(c, -1),
                                        pairs.reshape(c, -1)], 1)
-                sums = pd.DataFrame(flat).groupby(rows["model_id"].to_numpy()).sum()
-                yield pd.DataFrame({"model_id": sums.index, "stats": list(sums.to_numpy())})
+                ids, of = np.unique(rows["model_id"].to_numpy(str), return_inverse=True)
+                sums = np.zeros((len(ids), flat.shape[1]))       # what is not a number must stay so
+                np.add.at(sums, of, flat)
+                yield pd.DataFrame({"model_id": ids.astype(object), "stats": list(sums)})
     return run
 
 
 def _new_parameters(k: int, d: int, min_covar: float, tol: float):
     def run(batches):
         for pdf in batches:
-            new = [_maximise(r, k, d, min_covar, tol) for r in pdf.to_dict("records")]
-            yield pd.DataFrame(new)[PARAMETERS]
+            model = _arrays(pdf, k, d)
+            first = _arrays(pdf[["kind", "first"]].assign(**_cut(pdf["first"], k, d)), k, d)
+            _maximise_all(model, first, np.stack(pdf["stats"].to_list()), min_covar, tol)
+            yield _rows(pdf, model)
     return run
 
 
+MOVING = ("start", "trans", "means", "covars")
+
+
+def _cut(flat, k: int, d: int) -> dict:
+    """Lists of the four parameter arrays from lists of all their numbers."""
+    cuts = np.cumsum([k, k * k, k * d])
+    parts = [np.split(np.asarray(v), cuts) for v in flat]
+    return {name: [p[i] for p in parts] for i, name in enumerate(MOVING)}
+
+
+def _arrays(pdf: pd.DataFrame, k: int, d: int) -> dict:
+    """The models of a frame as arrays with a model axis."""
+    shapes = dict(start=(k,), trans=(k, k), means=(k, d), covars=(k, d, d))
+    out = {name: np.stack([np.asarray(v, float) for v in pdf[name]]).reshape((len(pdf),) + shapes[name]) for name in MOVING}
+    out["kind"] = np.array([KINDS.index(x) for x in pdf["kind"]])
+    for name, kind in (("loglik", float), ("done", bool), ("iters", np.int64)):
+        if name in pdf.columns:
+            out[name] = pdf[name].to_numpy(kind)
+    return out
+
+
+def _rows(pdf: pd.DataFrame, model: dict) -> pd.DataFrame:
+    m = len(pdf)
+    return pdf.assign(**{name: list(model[name].reshape(m, -1)) for name in MOVING}, kind=[KINDS[x] for x in model["kind"]],
+                      loglik=model["loglik"], done=model["done"], iters=model["iters"])[PARAMETERS]
+
+
+def _maximise_all(model: dict, first: dict, stats, min_covar: float, tol: float) -> None:
+    """New parameters of all models, in place, from their sufficient statistics; a broken model starts again."""
+    m, k = model["start"].shape
+    d = model["means"].shape[2]
+    ll, g0, g, gx, gxx, pairs = np.split(stats, np.cumsum([1, k, k, k * d, k * d * d]), axis=1)
+    ll, gx, gxx, pairs = ll[:, 0], gx.reshape(m, k, d), gxx.reshape(m, k, d, d), pairs.reshape(m, k, k)
+    seen = g > 1e-8                        # a state nobody visits keeps its place
+    weight = np.where(seen, g, 1.0)
+    means = gx / weight[..., None]
+    covars = gxx / weight[..., None, None] - means[..., :, None] * means[..., None, :]
+    floor = np.maximum(min_covar, np.array(FLOORS))[model["kind"]]
+    covars = (covars + covars.swapaxes(-1, -2)) / 2 + floor[:, None, None, None] * np.eye(d)
+    diagonal = np.maximum(np.diagonal(covars, axis1=-2, axis2=-1), floor[:, None, None])
+    covars = np.where((model["kind"] > 0)[:, None, None, None], diagonal[..., None] * np.eye(d), covars)
+    means = np.where(seen[..., None], means, model["means"])
+    covars = np.where(seen[..., None, None], covars, model["covars"])
+    moved = pairs.sum(-1, keepdims=True)
+    trans = np.where(moved > 1e-12, pairs / np.maximum(moved, 1e-12), model["trans"])
+    start = g0 / np.maximum(g0.sum(-1, keepdims=True), 1e-300)
+    broken = ~(np.isfinite(ll) & np.isfinite(means).all((1, 2)) & _each_positive(covars))
+    done = np.abs(ll - model["loglik"]) < tol
+    for name, new in zip(MOVING, (start, trans, means, covars)):
+        model[name][~broken] = new[~broken]
+    model["loglik"] = np.where(broken, model["loglik"], ll)
+    model["done"], model["iters"] = done & ~broken, model["iters"] + 1
+    # The last rung ends where it is; others go back to the start.
+    model["done"] |= broken & (model["kind"] == len(KINDS) - 1)
+    again = broken & (model["kind"] < len(KINDS) - 1)
+    if again.any():
+        model["kind"] = np.where(again, model["kind"] + 1, model["kind"])
+        for name in MOVING:
+            model[name][again] = first[name][again]
+        model["covars"][again] = diagonal_from(first["covars"][again], np.maximum(min_covar, np.array(FLOORS))[model["kind"][again]])
+        model["loglik"] = np.where(again, -np.inf, model["loglik"])
+        model["iters"] = np.where(again, 0, model["iters"])
+
+
+def diagonal_from(covars, floor):
+    d = covars.shape[-1]
+    return np.maximum(np.diagonal(covars, axis1=-2, axis2=-1), np.asarray(floor)[..., None, None])[..., None] * np.eye(d)
+
+
 def _maximise(row, k, d, min_covar, tol):
-    stats = np.asarray(row["stats"])
-    cuts = np.cumsum([1, k, k, k * d, k * d * d])
-    ll, g0, g, gx, gxx, pairs = np.split(stats, cuts)
-    gx, gxx, pairs = gx.reshape(k, d), gxx.reshape(k, d, d), pairs.reshape(k, k)
-    means, covars = np.array(row["means"]).reshape(k, d), np.array(row["covars"]).reshape(k, d, d)
-    trans = np.array(row["trans"]).reshape(k, k)
-    kind = row["kind"]
-    # A diagonal model carries a larger floor.
-    floor = min_covar if kind == "full" else max(min_covar, 1e-2)
-    for s in range(k):
-        if g[s] <= 1e-8:
-            continue                       # a state nobody visits keeps its place
-        means[s] = gx[s] / g[s]
-        cov = gxx[s] / g[s] - np.outer(means[s], means[s])
-        cov = (cov + cov.T) / 2 + floor * np.eye(d)
-        covars[s] = np.diag(np.maximum(np.diag(cov), floor)) if kind == "diag" else cov
-    moved = pairs.sum(1, keepdims=True)
-    trans = np.where(moved > 1e-12, pairs / np.maximum(moved, 1e-12), trans)
-    if kind == "full" and not _positive(covars):
-        kind = "diag"
-        covars = np.stack([np.diag(np.maximum(np.diag(c), max(min_covar, 1e-2))) for c in covars])
-    ll = float(ll[0])
-    row.update(start=g0 / max(g0.sum(), 1e-300), trans=trans.ravel(), means=means.ravel(), covars=covars.ravel(),
-               kind=kind, loglik=ll, done=bool(abs(ll - row["loglik"]) < tol), iters=int(row["iters"]) + 1)
+    """One model given as a row with its statistics; without `first` a broken one goes on from where it is."""
+    frame = pd.DataFrame([row])
+    model = _arrays(frame, k, d)
+    first = {**model, **{n: model[n].copy() for n in MOVING}}
+    if "first" in row:
+        first = _arrays(frame[["kind"]].assign(**_cut(frame["first"], k, d)), k, d)
+    _maximise_all(model, first, np.asarray(row["stats"])[None], min_covar, tol)
+    row.update({n: model[n][0].ravel() for n in ("start", "trans", "means")}, covars=model["covars"][0].ravel(),
+               kind=KINDS[model["kind"][0]], loglik=float(model["loglik"][0]), done=bool(model["done"][0]), iters=int(model["iters"][0]))
     return row
 
 
-def _fit_whole(k: int, d: int, min_covar: float, tol: float, max_iter: int):
-    """All steps of a model, from the chunks of its sequence and its starting parameters."""
-    moving = ["start", "trans", "means", "covars"]
+def _each_positive(covars):
+    try:
+        np.linalg.cholesky(covars)
+        return np.ones(len(covars), bool)
+    except np.linalg.LinAlgError:
+        return np.array([_positive(c) for c in covars])
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0][PARAMETERS].to_dict()
-        # Chunks as many as they are long make the loops along a chunk and over the chunks shortest.
-        x = np.concatenate(pdf.sort_values("blk")["x"].to_list())
-        size = d * max(16, math.isqrt(len(x) // d))
-        parts = [x[i:i + size] for i in range(0, len(x), size)]
-        chunks = pd.DataFrame({"model_id": row["model_id"], "seq": row["seq"], "blk": range(len(parts)), "x": parts})
-        while not row["done"] and row["iters"] < max_iter:
-            now = chunks.assign(**{p: [row[p]] * len(chunks) for p in moving})
-            moved = pd.concat(_transfers(k, d, False)([now]))
-            work = now.merge(_boundaries(k, False)(moved), on=["model_id", "seq", "blk"])
-            stats = np.sum(pd.concat(_statistics(k, d)([work]))["stats"].to_list(), axis=0)
-            row = _maximise({**row, "stats": stats}, k, d, min_covar, tol)
-        return pd.DataFrame([row])[PARAMETERS]
+# -- many models of whole sequences at the same time -------------------------
+
+def _products(x):
+    """What densities and statistics are linear in: products of two values, values, one."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([x[:, i] * x[:, j], x, np.ones((len(x), 1))], 1)
+
+
+def _density_weights(means, covars):
+    """Columns, one for each state, that turn `_products` into log densities."""
+    d = means.shape[-1]
+    precision = np.linalg.inv(covars)
+    precision = (precision + precision.swapaxes(-1, -2)) / 2
+    i, j = np.triu_indices(d)
+    towards = (precision @ means[..., None])[..., 0]
+    constant = -0.5 * ((means * towards).sum(-1) + np.linalg.slogdet(covars)[1] + d * np.log(2 * np.pi))
+    both = -0.5 * precision[..., i, j] * np.where(i == j, 1.0, 2.0)
+    return np.concatenate([both, towards, constant[..., None]], -1)
+
+
+def _log_densities(products, members, lengths, model):
+    """(time, models, states) log densities, and how many models are longer than t.
+
+    Models are ordered by length, longest first, so that those still running at t come first.
+    `products` and `members` list the sequences: their values and the places of their models.
+    """
+    m, k = model["start"].shape
+    top_t = int(lengths[0])
+    active = np.searchsorted(-lengths, -np.arange(top_t), "left")
+    logb = np.zeros((top_t, m, k))
+    weights = _density_weights(model["means"], model["covars"])
+    for values, at in zip(products, members):
+        logb[:len(values), at] = (values @ weights[at].reshape(-1, weights.shape[-1]).T).reshape(len(values), len(at), k)
+    return logb, active
+
+
+def _smooth(logb, lengths, active, model):
+    """Filtered and smoothed probabilities, what follows each row, and the log likelihoods."""
+    top_t, m, k = logb.shape
+    top = logb.max(-1)
+    b = np.maximum(np.exp(logb - top[..., None]), TINY)
+    trans = model["trans"]
+    alpha, norm = np.zeros((top_t, m, k)), np.ones((top_t, m))
+    a = model["start"] * b[0]
+    for t in range(top_t):
+        n = active[t]
+        if t:
+            a = np.matmul(a[:n, None, :], trans[:n])[:, 0] * b[t, :n]
+        total = np.maximum(a.sum(-1), TINY)
+        norm[t, :n] = total
+        a = a / total[:, None]
+        alpha[t, :n] = a
+    gamma, after = alpha.copy(), np.zeros((top_t, m, k))
+    v = np.ones((m, k))
+    for t in range(top_t - 1, 0, -1):
+        n = active[t]
+        w = b[t, :n] * v[:n] / norm[t, :n, None]
+        after[t, :n] = w
+        v[:n] = np.matmul(trans[:n], w[:, :, None])[:, :, 0]
+        gamma[t - 1, :n] *= v[:n]
+    gamma /= np.maximum(gamma.sum(-1, keepdims=True), TINY)
+    running = np.arange(top_t)[:, None] < lengths[None, :]
+    return alpha, gamma, after, ((np.log(norm) + top) * running).sum(0)
+
+
+def _best_paths(logb, active, model):
+    """(time, models) most likely states."""
+    top_t, m, k = logb.shape
+    la = np.log(np.maximum(model["trans"], 1e-300))
+    v = np.log(np.maximum(model["start"], 1e-300)) + logb[0]
+    back = np.zeros((top_t, m, k), np.int8)
+    for t in range(1, top_t):
+        n = active[t]
+        cand = v[:n, :, None] + la[:n]
+        back[t, :n] = cand.argmax(1)
+        v[:n] = cand.max(1) + logb[t, :n]
+    path, s, at = np.zeros((top_t, m), np.int32), v.argmax(1), np.arange(m)
+    for t in range(top_t - 1, -1, -1):
+        n = active[t]
+        path[t, :n] = s[:n]
+        s[:n] = back[t, at[:n], s[:n]]
+    return path
+
+
+def _expect(products, members, lengths, model, d: int):
+    """Sufficient statistics of all models, ordered as in `_log_densities`."""
+    m, k = model["start"].shape
+    logb, active = _log_densities(products, members, lengths, model)
+    alpha, gamma, after, ll = _smooth(logb, lengths, active, model)
+    pairs = model["trans"] * np.matmul(alpha[:-1].transpose(1, 2, 0), after[1:].transpose(1, 0, 2))
+    i, j = np.triu_indices(d)
+    q = len(i)
+    out = np.empty((m, 1 + 2 * k + k * d + k * d * d + k * k))
+    out[:, 0] = ll
+    out[:, 1:1 + k] = gamma[0]
+    out[:, 1 + 2 * k + k * d + k * d * d:] = pairs.reshape(m, -1)
+    for values, at in zip(products, members):
+        sums = (gamma[:len(values), at].reshape(len(values), -1).T @ values).reshape(len(at), k, -1)
+        square = np.empty((len(at), k, d, d))
+        square[..., i, j] = square[..., j, i] = sums[..., :q]
+        out[at, 1 + k:1 + 2 * k] = sums[..., -1]
+        out[at, 1 + 2 * k:1 + 2 * k + k * d] = sums[..., q:-1].reshape(len(at), -1)
+        out[at, 1 + 2 * k + k * d:1 + 2 * k + k * d + k * d * d] = square.reshape(len(at), -1)
+    return out
+
+
+def _whole_sequences(chunks: pd.DataFrame, params: pd.DataFrame, d: int):
+    """The sequences of a batch by name, its models longest first, and their lengths."""
+    chunks = chunks.sort_values(["seq", "blk"])
+    x = {seq: np.concatenate(rows.to_list()).reshape(-1, d) for seq, rows in chunks.groupby("seq")["x"]}
+    length = params["seq"].map(lambda s: len(x[s])).to_numpy()
+    order = np.argsort(-length, kind="stable")
+    return x, params.iloc[order].reset_index(drop=True), length[order]
+
+
+def _decode_together(k: int, d: int, path_only: bool):
+    """Decoding of a batch: chunks of its sequences, each once, and its models."""
+    def run(chunks: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
+        x, params, lengths = _whole_sequences(chunks, params, d)
+        seqs = params["seq"].to_numpy()
+        members = [np.flatnonzero(seqs == s) for s in x]
+        model = _arrays(params.assign(kind=KINDS[0]), k, d)
+        logb, active = _log_densities([_products(v) for v in x.values()], members, lengths, model)
+        path = _best_paths(logb, active, model)
+        alpha, gamma = (None, None) if path_only else _smooth(logb, lengths, active, model)[:2]
+        blocks = {seq: np.cumsum([0, *[len(v) // d for v in rows.sort_values("blk")["x"]]]) for seq, rows in chunks.groupby("seq")}
+        out = []
+        for i, (model_id, seq) in enumerate(zip(params["model_id"], seqs)):
+            for blk, (low, high) in enumerate(zip(blocks[seq], blocks[seq][1:])):
+                row = {"model_id": model_id, "seq": seq, "blk": blk, "state": path[low:high, i]}
+                if not path_only:
+                    row |= {"smoothed": list(gamma[low:high, i]), "filtered": list(alpha[low:high, i])}
+                out.append(row)
+        return pd.DataFrame(out)
+    return run
+
+
+def _fit_together(k: int, d: int, min_covar: float, tol: float, max_iter: int):
+    """All steps of a batch: chunks of its sequences, each once, and starting parameters of its models."""
+    def run(chunks: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
+        x, params, lengths = _whole_sequences(chunks, params, d)
+        values, seqs = {seq: _products(v) for seq, v in x.items()}, params["seq"].to_numpy()
+        model = _arrays(params, k, d)
+        first = {name: model[name].copy() for name in MOVING}
+        while True:
+            live = np.flatnonzero(~model["done"] & (model["iters"] < max_iter))
+            if not len(live):
+                return _rows(params, model)
+            names = dict.fromkeys(seqs[live])
+            members = [np.flatnonzero(seqs[live] == s) for s in names]
+            now = {name: v[live] for name, v in model.items()}
+            stats = _expect([values[s] for s in names], members, lengths[live], now, d)
+            _maximise_all(now, {name: first[name][live] for name in MOVING}, stats, min_covar, tol)
+            for name, v in now.items():
+                model[name][live] = v
     return run
 
 
@@ -276,6 +502,7 @@ def _positive(covars) -> bool:
 PARAMETERS = ["model_id", "seq", "seed", "start", "trans", "means", "covars", "kind", "loglik", "done", "iters"]
 PARAMETER_SCHEMA = ("model_id string, seq string, seed bigint, start array<double>, trans array<double>, "
                     "means array<double>, covars array<double>, kind string, loglik double, done boolean, iters int")
+PACKED = ("model_id", "start", "trans", "means", "covars")
 KEY_SCHEMA = "model_id string, seq string, blk bigint"
 
 
@@ -303,23 +530,65 @@ def chunk_rows(df: DataFrame, features, keys=("series_id",), rows_per_day: int =
                                F.flatten("r.v").alias("x")), "chunks")
 
 
-def random_init(df: DataFrame, features, models: DataFrame, k: int, min_covar: float = 1e-3, keys=("series_id",)) -> DataFrame:
+def mix32(x):
+    """A bijection of 32-bit numbers, in whole numbers below 2^63 so that SQL can repeat it."""
+    x = np.asarray(x, np.int64) & 0xFFFFFFFF
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 73244475) & 0xFFFFFFFF
+    return x ^ (x >> 16)
+
+
+def sampled_rows(chunks: DataFrame, models: DataFrame, k: int, d: int) -> DataFrame:
+    """(model_id, place 1 to k, v) of the k rows of its sequence with the least hashes of a model's seed and the second.
+
+    `models` has model_id, seq and seed.  Each chunk is read once for all models of its sequence and sends the k least of
+    each, so what is ranked grows with chunks and models, not with rows and models.
+    """
+    who = models.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("model_id", "seed"))).alias("m"))
+    who = who.select("seq", F.col("m.model_id").alias("model_id"), F.col("m.seed").alias("seed"))
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                us = pd.to_datetime(np.asarray(r["ts"])).to_numpy("datetime64[us]").astype(np.int64)
+                x, second = np.asarray(r["x"]).reshape(-1, d), mix32(us // 1_000_000)
+                for model, seed in zip(r["model_id"], r["seed"]):
+                    h = mix32(second ^ mix32(int(seed)))
+                    least = np.lexsort((us, h))[:k] if len(h) <= 4 * k else np.argpartition(h, k)[:k + 1]
+                    least = least[np.lexsort((us[least], h[least]))][:k]
+                    out += [(model, int(h[i]), int(us[i]), x[i]) for i in least]
+            yield pd.DataFrame(out, columns=["model_id", "h", "us", "v"])
+
+    drawn = attach(chunks.select("seq", "blk", "ts", "x"), who, ["seq"], salt_on=["blk"]).mapInPandas(
+        draw, "model_id string, h bigint, us bigint, v array<double>")
+    w = Window.partitionBy("model_id").orderBy("h", "us")
+    return drawn.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("model_id", "place", "v")
+
+
+def random_init(chunks: DataFrame, features, models: DataFrame, k: int, min_covar: float = 1e-3,
+                keys=("series_id",)) -> DataFrame:
     """Starting parameters: random start and transition rows, k sampled rows as means,
     the covariance of all rows for every state.
 
-    `models` has the keys, `model_id` and `seed`.
+    `models` has the keys, `model_id` and `seed`; `chunks` comes from `chunk_rows`.
     """
     d = len(features)
-    rows = df.select(sequence_key(keys).alias("seq"), "ts", *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    who = models.select(sequence_key(keys).alias("seq"), "model_id", "seed")
+    who = models.select(sequence_key(keys).alias("seq"), "model_id", F.col("seed").cast("long").alias("seed"))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    cov = rows.groupBy("seq").agg(F.array(*[F.coalesce(F.covar_samp(f"f{i}", f"f{j}"), F.lit(0.0)) for i, j in pairs]).alias("cov"))
-    # k rows per model by smallest hash; the limit applies before the shuffle.
-    drawn = attach(rows, who, ["seq"]).withColumn("_h", F.xxhash64("seed", "ts"))
-    w = Window.partitionBy("model_id").orderBy("_h", "ts")
-    drawn = drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    point = F.struct("_r", F.array(*[F.col(f"f{i}") for i in range(d)]).alias("v"))
-    means = drawn.groupBy("model_id").agg(F.flatten(F.array_sort(F.collect_list(point))["v"]).alias("means"))
+
+    def moments(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"seq": pdf["seq"], "sums": [_products(np.asarray(v).reshape(-1, d)).sum(0) for v in pdf["x"]]})
+
+    sums = chunks.select("seq", "x").mapInPandas(moments, "seq string, sums array<double>").select("seq", F.posexplode("sums").alias("pos", "val"))
+    sums = sums.groupBy("seq", "pos").agg(F.sum("val").alias("val")).groupBy("seq").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "val")))["val"].alias("s"))
+    n, p = F.col("s")[len(pairs) + d], len(pairs)
+    spread = [(F.col("s")[at] - F.col("s")[p + i] * F.col("s")[p + j] / n) / F.greatest(n - 1, F.lit(1.0)) for at, (i, j) in enumerate(pairs)]
+    cov = sums.select("seq", F.array(*spread).alias("cov"))
+    means = sampled_rows(chunks, who, k, d).groupBy("model_id").agg(
+        F.flatten(F.array_sort(F.collect_list(F.struct("place", "v")))["v"]).alias("means"))
     base = who.join(cov, "seq").join(means, "model_id")
 
     def make(batches):
@@ -345,45 +614,78 @@ def random_init(df: DataFrame, features, models: DataFrame, k: int, min_covar: f
     return base.mapInPandas(make, PARAMETER_SCHEMA)
 
 
+def _packed(rows: DataFrame, by, columns) -> DataFrame:
+    """The models of a sequence or chunk as parallel lists."""
+    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_m"))
+    return lists.select(*by, *[F.col(f"_m.{c}").alias(c) for c in columns])
+
+
 def _with_parameters(chunks: DataFrame, params: DataFrame) -> DataFrame:
-    small = params.select("seq", "model_id", "start", "trans", "means", "covars")
-    return attach(chunks.select("seq", "blk", "x"), small, ["seq"], salt_on=["blk"])
+    return attach(chunks.select("seq", "blk", "x"), _packed(params, ["seq"], PACKED), ["seq"], salt_on=["blk"])
 
 
 def _bounded_work(chunks: DataFrame, params: DataFrame, bounds: DataFrame) -> DataFrame:
     """Chunks with parameters and boundaries; the two small tables meet first, so the
     rows of the sequences move at most once."""
-    small = bounds.join(params.select("model_id", "start", "trans", "means", "covars"), "model_id")
-    return chunks.select("seq", "blk", "x").join(small, ["seq", "blk"])
+    small = bounds.join(params.select(*PACKED), "model_id")
+    return chunks.select("seq", "blk", "x").join(
+        _packed(small, ["seq", "blk"], [*PACKED, "a_in", "b_out", "entry", "last"]), ["seq", "blk"])
 
 
 def _boundary_table(work: DataFrame, k: int, d: int, best: bool) -> DataFrame:
+    """What enters and leaves every chunk of every model.
+
+    Short sequences share a task, about MATRICES matrices in each; a longer one has a task of its own.
+    """
     moved = work.mapInPandas(_transfers(k, d, best), KEY_SCHEMA + ", total array<double>, best array<double>")
-    return moved.groupBy("model_id", "seq").applyInPandas(
-        _boundaries(k, best), KEY_SCHEMA + ", a_in array<double>, b_out array<double>, entry int, last int")
+    matrices = work.agg(F.sum(F.size("model_id"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("model_id", "seq"), F.lit(max(1, -(-matrices // MATRICES))))
+    each = _boundaries(k, best)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([each(rows) for _, rows in pdf.groupby(["model_id", "seq"], sort=False)])
+
+    return moved.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
+        run, KEY_SCHEMA + ", a_in array<double>, b_out array<double>, entry int, last int")
+
+
+def _batches(params: DataFrame, lengths: DataFrame) -> DataFrame:
+    """`params` with `batch`: models of similar length together, about TOGETHER rows in all."""
+    sized = params.join(lengths, "seq").withColumn("_class", F.floor(F.log2("_rows") * 2))
+    totals = sized.groupBy("_class").agg(F.sum("_rows").alias("n")).collect()          # a row for each factor of 1.4
+    parts = F.create_map(*[F.lit(x) for r in totals for x in (int(r["_class"]), max(1, -(-r["n"] // TOGETHER)))]) if totals else F.create_map()
+    part = F.pmod(F.xxhash64("model_id"), F.coalesce(F.try_element_at(parts, F.col("_class")), F.lit(1))) if totals else F.lit(0)
+    return sized.withColumn("batch", F.concat_ws("|", "_class", part)).drop("_class", "_rows")
 
 
 def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig = RunConfig(),
-                     keys=("series_id",), rows_per_day: int = 288, max_iter: int | None = None) -> DataFrame:
+                     keys=("series_id",), rows_per_day: int = 288, max_iter: int | None = None,
+                     init: DataFrame | None = None) -> DataFrame:
     """Baum-Welch for all models together; one row of parameters per model.
 
-    `df` holds the rows to fit on (scaled, no NULLs).  `models` as in `random_init`.
-    Full covariances; a model whose covariance stops being positive definite goes on
-    with diagonal ones.
+    `df` holds the rows to fit on (scaled, no NULLs).  `models` as in `random_init`; instead
+    `init` may give the starting parameters themselves, in the form of the result.
+    Full covariances; a model that breaks down starts again with diagonal ones, see KINDS.
     """
     features, d = list(features), len(features)
-    df = stage(df, "fit")
     chunks = chunk_rows(df, features, keys, rows_per_day)
-    params = stage(random_init(df, features, models, k, cfg.min_covar, keys), "params")
     limit = max_iter or cfg.max_iter
-    long_ = chunks.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE).select("seq")
-    long_ = stage(long_, "long")
+    lengths = stage(chunks.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("x") / d).cast("long").alias("_rows")), "lengths")
+    starts = init if init is not None else random_init(chunks, features, models, k, cfg.min_covar, keys)
+    starts = stage(starts, "starts")
+    params = stored(_batches(starts, lengths.select("seq", "_rows")))
+    long_ = stored(lengths.filter(F.col("_n") > WHOLE).select("seq"))
     brief = params.join(long_, "seq", "left_anti")
-    work = attach(chunks.select("seq", "blk", "x"), brief, ["seq"], salt_on=["blk"])
-    finished = stage(work.groupBy("model_id").applyInPandas(
-        _fit_whole(k, d, cfg.min_covar, cfg.tol, limit), PARAMETER_SCHEMA), "params")
-    params = stored(params.join(long_, "seq", "left_semi"))
-    for _ in range(0 if long_.isEmpty() else limit):
+    where = brief.select("seq", "batch").distinct().select("seq", F.col("batch").alias("batch"))
+    finished = stage(
+        chunks.select("seq", "blk", "x").join(where, "seq").groupBy("batch").cogroup(brief.groupBy("batch")).applyInPandas(
+            _fit_together(k, d, cfg.min_covar, cfg.tol, limit), PARAMETER_SCHEMA), "params")
+    if long_.isEmpty():
+        return finished
+    chunks = stored(chunks.join(long_, "seq", "left_semi"))
+    params = stored(params.join(long_, "seq", "left_semi").select(*PARAMETERS))
+    first = stage(params.select("model_id", F.concat(*MOVING).alias("first")), "first")
+    for _ in range(limit * len(KINDS)):
         work = _with_parameters(chunks, params)
         bounds = _boundary_table(work, k, d, best=False)
         stats = _bounded_work(chunks, params, bounds).mapInPandas(
@@ -392,14 +694,15 @@ def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: Ru
         # One number per model and position: as many rows as the model has parameters.
         summed = parts.groupBy("model_id", "pos").agg(F.sum("val").alias("val")).groupBy("model_id").agg(
             F.array_sort(F.collect_list(F.struct("pos", "val")))["val"].alias("stats"))
-        step = params.join(summed, "model_id").mapInPandas(
+        step = params.join(summed, "model_id").join(first, "model_id").mapInPandas(
             _new_parameters(k, d, cfg.min_covar, cfg.tol), PARAMETER_SCHEMA)
         step = stage(step, "params")
-        finished = finished.unionByName(step.filter("done"))
-        params = stored(step.filter("NOT done"))
+        over = F.col("done") | (F.col("iters") >= limit)
+        finished = finished.unionByName(step.filter(over))
+        params = stored(step.filter(~over))
         if params.isEmpty():
-            return stored(finished)
-    return stored(finished.unionByName(params))
+            break
+    return stored(finished)
 
 
 def best_models(params: DataFrame, models: DataFrame, group) -> DataFrame:
@@ -449,39 +752,57 @@ def segments(df: DataFrame, trade_start: DataFrame | None, warmup, keys=("series
 
 
 def decode(df: DataFrame, features, params: DataFrame, k: int, keys=("series_id",), rows_per_day: int = 288,
-           state: str = "state") -> DataFrame:
+           state: str = "state", path_only: bool = False) -> DataFrame:
     """Most likely state path, smoothed and filtered state probabilities per row and model.
 
     `df` comes from `segments`; each segment is a sequence of its own.  Returns the keys,
-    ts, model_id, the state, `smoothed` and `filtered` (arrays of k).
+    ts, model_id, the state, `smoothed` and `filtered` (arrays of k); with `path_only`
+    without the probabilities.
     """
     features, d, keys = list(features), len(features), list(keys)
     chunks = chunk_rows(df, features, [*keys, "seg"], rows_per_day)
     base = chunks.withColumn("whole", sequence_key(keys))
-    small = params.select(F.col("seq").alias("whole"), "model_id", "start", "trans", "means", "covars")
+    params = params.select(F.col("seq").alias("whole"), "model_id", "start", "trans", "means", "covars")
+    lengths = base.groupBy("seq", "whole").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("x") / d).cast("long").alias("_rows"))
+    lengths = stage(lengths, "lengths")
+    output = KEY_SCHEMA + ", state array<int>" + ("" if path_only else ", smoothed array<array<double>>, filtered array<array<double>>")
+
+    short = lengths.filter(F.col("_n") <= WHOLE)
+    pairs = _batches(params.join(short.select("seq", "whole"), "whole").drop("whole"), short.select("seq", "_rows"))
+    where = pairs.select("seq", "batch").distinct().select("seq", F.col("batch").alias("batch"))
+    done = chunks.select("seq", "blk", "x").join(where, "seq").groupBy("batch").cogroup(pairs.groupBy("batch")).applyInPandas(
+        _decode_together(k, d, path_only), output)
+    long_ = stored(lengths.filter(F.col("_n") > WHOLE).select("seq"))
+    if not long_.isEmpty():
+        done = done.unionByName(_decode_long(base.join(long_, "seq", "left_semi"), params, k, d, path_only, output))
+    each = ["state"] if path_only else ["state", "smoothed", "filtered"]
+    named = done.join(chunks.drop("x"), ["seq", "blk"])
+    rows = named.select(*keys, "seg", "model_id", F.explode(F.arrays_zip("ts", "own", *each)).alias("r"))
+    return rows.filter("r.own").select(
+        *keys, F.col("r.ts").alias("ts"), "model_id", F.col("r.state").alias(state),
+        *[F.col(f"r.{c}").alias(c) for c in each[1:]], "seg")
+
+
+def _decode_long(base: DataFrame, params: DataFrame, k: int, d: int, path_only: bool, output: str) -> DataFrame:
+    """Decoding in chunks between their boundaries, for sequences of any length."""
+    small = _packed(params, ["whole"], PACKED)
     work = attach(base.select("seq", "blk", "x", "whole"), small, ["whole"], salt_on=["blk"]).drop("whole")
     bounds = stage(_boundary_table(work, k, d, best=True), "bounds")
 
     def run(batches):
         for pdf in batches:
             for rows, _, logb, start, trans, first in _stacks(pdf, k, d):
-                into, out = np.stack(rows["a_in"].to_list()), np.stack(rows["b_out"].to_list())
-                gamma, _, alpha, _ = forward_backward(logb, start, trans, first, into, out)
                 path = best_path(logb, start, trans, first, rows["entry"].to_numpy(), rows["last"].to_numpy())
                 res = rows[["model_id", "seq", "blk"]].copy()
                 res["state"] = list(path)
-                res["smoothed"] = [list(g) for g in gamma]
-                res["filtered"] = [list(a) for a in alpha]
+                if not path_only:
+                    into, out = np.stack(rows["a_in"].to_list()), np.stack(rows["b_out"].to_list())
+                    gamma, _, alpha, _ = forward_backward(logb, start, trans, first, into, out)
+                    res["smoothed"] = [list(g) for g in gamma]
+                    res["filtered"] = [list(a) for a in alpha]
                 yield res
 
-    done = _bounded_work(chunks, params, bounds).mapInPandas(
-        run, KEY_SCHEMA + ", state array<int>, smoothed array<array<double>>, filtered array<array<double>>")
-    named = done.join(chunks.drop("x"), ["seq", "blk"])
-    rows = named.select(*keys, "seg", "model_id",
-                        F.explode(F.arrays_zip("ts", "own", "state", "smoothed", "filtered")).alias("r"))
-    return rows.filter("r.own").select(
-        *keys, F.col("r.ts").alias("ts"), "model_id", F.col("r.state").alias(state),
-        F.col("r.smoothed").alias("smoothed"), F.col("r.filtered").alias("filtered"), "seg")
+    return _bounded_work(base, params, bounds).mapInPandas(run, output)
 
 
 def posterior_metrics(df: DataFrame, k: int, posterior: str = "smoothed") -> DataFrame:

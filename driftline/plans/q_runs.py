@@ -88,7 +88,7 @@ def forecast_by_state(spark, folder):
     rows = K.stage(M.forecast_features(rows, names, keep=("y",)), "rows")
     split = K.stage(M.time_split(rows, M.last_days_window(rows, cfg.trade_days), cfg, rows_per_day=1), "split")
     models = M.fit_per_state(split.filter("split = 'train'"), "y", cfg, names)
-    pred = M.predict_per_state(split.filter("split = 'validation'"), models, names)
+    pred = M.predict_per_state(split.filter("split = 'validation'"), models, names, cfg=cfg)
     m = M.regression_metrics(pred, "y", "pred")
     return m.select(long("super_state").alias("super_state"), "test_n", *rounded(4, "rmse", "mae", "r2", "ic"))
 

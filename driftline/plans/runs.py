@@ -2,8 +2,7 @@
 
 A run is a row of a `runs` table: series_id, cycle_no, run_id, the seeds rs_5m, rs_30m,
 rs_1d, and trade_start, trade_end, data_end.  Bars and indicators are computed once for
-all runs; every step below handles all runs of all series in the same jobs.  The forests
-are the exception: Spark fits one per run and label, a few at a time.
+all runs; every step below handles all runs of all series in the same jobs.
 """
 
 from __future__ import annotations
@@ -56,14 +55,14 @@ def fit_rows(df: DataFrame, k: int, least: int, cfg: RunConfig, keys) -> DataFra
     out = attach(df, facts, keys)
     mask = F.when(F.col("trade_start").isNotNull(), F.col("ts") < F.col("trade_start")).otherwise(
         F.col("ts").cast("date") < F.col("_last_day"))
-    out = stage(out.withColumn("fit", mask).drop("_last_day"), "fitmask")
+    out = out.withColumn("fit", mask).drop("_last_day")
     few = out.groupBy(*keys).agg((F.count_if("fit") < max(least, 50 * k)).alias("fit_fallback"))
     out = attach(out, few, keys)
     return out.withColumn("fit", F.col("fit") | F.col("fit_fallback"))
 
 
 def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig, keys, warmup, least: int = 200,
-            max_iter: int | None = None, rows_per_day: int = 288, state: str = "state"):
+            max_iter: int | None = None, rows_per_day: int = 288, state: str = "state", path_only: bool = False):
     """Fit, align and decode a hidden-Markov model per row of `models`.
 
     `df` has the keys, ts, trade_start and the features; returns (labels, parameters).
@@ -71,7 +70,7 @@ def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig,
     """
     keys, features = list(keys), list(features)
     rows = stored(stage(df, "regime_in").select(*keys, "ts", "trade_start", *features).dropna(subset=features))
-    rows = stage(fit_rows(rows, k, least, cfg, keys), "regime_fit")
+    rows = fit_rows(rows, k, least, cfg, keys)
     scaled = [f + "_z" for f in features]
     rows = stage(L.standardize(rows, features, F.col("fit"), keys).drop(*features), "scaled")
     fit = stored(rows.filter("fit").select(*keys, "ts", *scaled))
@@ -92,7 +91,7 @@ def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig,
     placed = stage(placed, "placed")
     starts = placed.groupBy(*keys).agg(F.max("trade_start").alias("trade_start"))
     segs = H.segments(placed.drop("trade_start"), starts, warmup, keys)
-    return H.decode(segs, scaled, params, k, keys, rows_per_day, state), params
+    return H.decode(segs, scaled, params, k, keys, rows_per_day, state, path_only), params
 
 
 def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), max_iter: int | None = None,
@@ -114,7 +113,8 @@ def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
     models = models.withColumn("model_id", F.concat_ws("|", *keys, "seed"))
     warm = (F.when(F.col("tf") == "5m", cfg.warmup_5m).when(F.col("tf") == "30m", cfg.warmup_30m)
             .otherwise(cfg.warmup_1d))
-    labels, fitted = regimes(rows, BASE_FEATURES, models, cfg.n_states, cfg, keys, warm, 200, max_iter)
+    labels, fitted = regimes(rows, BASE_FEATURES, models, cfg.n_states, cfg, keys, warm, 200, max_iter,
+                             path_only=True)
     if parameters is not None:
         parameters["base_models"] = fitted
     labels = stage(labels.join(models, [*keys, "model_id"]).select(*keys, "seed", "ts", "state"), "base_labels")
@@ -141,7 +141,7 @@ def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("serie
     keys = list(keys)
     if "trade_start" not in overlay.columns:
         overlay = overlay.withColumn("trade_start", F.lit(None).cast("timestamp_ntz"))
-    overlay = stage(overlay.dropna(subset=list(SUPER_FEATURES)), "overlay")
+    overlay = stored(stage(overlay, "overlay").dropna(subset=list(SUPER_FEATURES)))
     models = overlay.select(*keys).distinct().withColumns(
         {"seed": F.lit(seed).cast("long"), "model_id": F.concat_ws("|", *keys)})
     labels, fitted = regimes(overlay, SUPER_FEATURES, models, cfg.k_super, cfg, keys, F.lit(cfg.warmup_super), 300,
@@ -149,13 +149,13 @@ def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("serie
     if parameters is not None:
         parameters["super_models"] = fitted
     labels = H.posterior_metrics(labels, cfg.k_super).drop("smoothed", "filtered", "model_id", "seg")
-    rows = overlay.drop("overlay_struct").join(labels, [*keys, "ts"])
-    rows = position_bars(rows.drop("idx"), rows_per_day, keys)
-    return stage(P.path_metrics(rows, "super_state", cfg, keys), "super")
+    # Run statistics need the labels only; the wide rows join at the end.
+    labels = position_bars(labels, rows_per_day, keys)
+    paths = P.path_metrics(labels, "super_state", cfg, keys)
+    return stage(overlay.drop("overlay_struct", "idx").join(paths, [*keys, "ts"]), "super")
 
 
-def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), parallel: int = 4,
-                  pool_series: bool = False):
+def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(), pool_series: bool = False):
     """Forecast, gate and trade every run: (statistics, equity, trades, pack).
 
     The pack holds what is needed to go on from here: the forests (`models`), the good
@@ -176,13 +176,13 @@ def forecast_runs(table: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
     split = stage(split.withColumn("model_key", F.concat_ws("|", *group, "super_state")), "split")
     train, validation = split.filter("split = 'train'"), split.filter("split = 'validation'")
 
-    models = M.fit_per_state(train, y, cfg, state="model_key", parallel=parallel)
-    checked = M.predict_per_state(validation, models, state="model_key")
+    models = M.fit_per_state(train, y, cfg, state="model_key")
+    checked = M.predict_per_state(validation, models, state="model_key", cfg=cfg)
     good = M.select_states(M.regression_metrics(checked, y, "pred", [*group, "super_state"]), cfg)
     good = stage(good.select(*group, "super_state"), "good")
     thresholds = G.gate_thresholds(train, good, cfg, group)
     trade = stage(G.gate_mask(split.filter("split = 'trade'"), thresholds, group), "trade")
-    predicted = M.predict_per_state(trade.join(good, [*group, "super_state"], "left_semi"), models, state="model_key")
+    predicted = M.predict_per_state(trade.join(good, [*group, "super_state"], "left_semi"), models, state="model_key", cfg=cfg)
     predicted = stage(predicted.select(*keys, "ts", "super_state", "gate_on", "pred"), "predicted")
     bars = trade.select(*keys, "ts", "high", "low", "close", "atr_14")
     # A run without a prediction does not trade.
@@ -217,11 +217,11 @@ def export_pack(folder: str, table: DataFrame, pack: dict, parameters: dict, cfg
     tables = {
         "meta": spark.createDataFrame([(str(k), str(v)) for k, v in asdict(cfg).items()], "name string, value string"),
         "path_seed": P.path_seed(P.with_runs(rows, "super_state", keys), "super_state", cfg, keys),
-        **parameters, **{k: v for k, v in pack.items() if k != "models"},
+        **parameters, **pack,
     }
     if selection is not None:
         tables["selection"] = selection
-    publish_pack(folder, tables, {str(k).replace("|", "_"): m for k, m in pack["models"].items()})
+    publish_pack(folder, tables)
 
 
 def sweep(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig(), n_sweeps: int | None = None,

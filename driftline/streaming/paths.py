@@ -108,3 +108,9 @@ def seed_rows(seeds: DataFrame) -> DataFrame:
     """Seed documents (series_id, seed) as the first rows of the stream."""
     return seeds.select("series_id", F.get_json_object("seed", "$.seed_until_time").cast("timestamp_ntz").alias("ts"),
                         F.lit(None).cast("int").alias("state"), "seed")
+
+
+def write_path_metrics(metrics: DataFrame, path: str, checkpoint: str):
+    """Append the stream to a table until what is there now is used up; the checkpoint keeps the state for the next call."""
+    return metrics.writeStream.format("parquet").outputMode("append").option("path", path).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
