@@ -12,8 +12,8 @@ weighs as often as it occurs). A document shorter than the item is one window.
 
 The benchmark is the query set. Its shingles are broadcast if they are measured to be few, else in blocks, one pass over
 the documents for each. Texts are known by a 128-bit key, so copies are searched once from step 2 on.
-Items of fewer than five words or without text say too little and are left out. Items of the same words share their
-result. Null and empty documents hold nothing. At similarity 0.75 fingerprints differ in 11 of 64 bits on average with
+An item of fewer than five words is one shingle, its whole sequence: a document holds it where the same words stand in a row.
+Items without words are in no document. Items of the same words share their result. Null and empty documents hold nothing. At similarity 0.75 fingerprints differ in 11 of 64 bits on average with
 a deviation of 3, so RADIUS 23 is four deviations away; equal passages have equal fingerprints.
 """
 
@@ -112,8 +112,29 @@ def _windows(docs: DataFrame, items: DataFrame, seeds: DataFrame, store: Store)
     return each.select("key", "size", "begin", F.slice("hashes", F.col("begin") + 1, wanted).alias("hashes")).dropDuplicates(["key", "size", "begin"])
 
 
+def _holding_short(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame | None:
+    """key, item_ids, similarity of texts with the words of an item that is shorter than a shingle; None without such items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.lower("text")).alias("item_words"))
+    items = items.where(F.size("item_words").between(1, SHINGLE - 1)).groupBy(F.array_join("item_words", " ").alias("phrase")).agg(
+        F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.first(F.size("item_words")).alias("n"))
+    items = store.put(items)
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]        # four at most
+    if not sizes:
+        return None
+    texts = docs.select(text_key(F.col("text")).alias("key"), words(F.lower("text")).alias("tokens"))
+
+    def phrases(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.array_join(F.slice("tokens", i, n), " "))
+        return F.when(F.size("tokens") >= n, runs).otherwise(F.expr("cast(array() as array<string>)"))
+
+    each = F.explode(F.array_distinct(F.flatten(F.array(*map(phrases, sizes))))).alias("phrase")
+    met = join_small(texts.select("key", each), items.drop("n"), "phrase", "inner")
+    return met.select("key", "item_ids", F.lit(1.0).alias("similarity"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame:
     """key (of the text), item_ids, similarity: the texts that hold an item. Stored."""
+    short = _holding_short(docs, benchmark, store)
     items = store.put(_items(benchmark))
     seeds = store.put(items.select("item", "size", F.explode(F.array_distinct("item_hashes")).alias("hash")))
     parts = max(1, -(-seeds.count() // SMALL_ROWS))
@@ -136,9 +157,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame:
             .select("key", "item_ids", common_weight(F.col("hashes"), F.col("item_hashes")).alias("both"),
                     (F.size("hashes") + F.size("item_hashes")).alias("sum")))
     close = both.where(F.col("both") * SIMILAR[1] >= SIMILAR[0] * (F.col("sum") - F.col("both")))
-    return store.put(close.groupBy("key").agg(
+    close = close.select("key", "item_ids", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
+    return store.put((close if short is None else close.unionByName(short)).groupBy("key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
-        F.round(F.max(F.col("both") / (F.col("sum") - F.col("both"))), 6).alias("similarity")))
+        F.round(F.max("similarity"), 6).alias("similarity")))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, store: Store | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def checked(rows, got):
         size[source] += len(brute.words(text))
     order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None] * (None in size)
     target = shares({s: size[s] for s in order})
-    want = sorted(str((d, len(brute.words(t)), size[s], round(target[s], 6))) for d, t, s in rows)
+    want = sorted(str((d, len(brute.words(t)), size[s], round(float(target[s]), 6))) for d, t, s in rows)
     assert sorted(str((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6))) for r in got) == want
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
     taken, sizes = collections.Counter(), collections.Counter()

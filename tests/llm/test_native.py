@@ -154,3 +154,35 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SMALL_ROWS", 40)
     got = decontaminate.flag(spark.createDataFrame([(i, "x " + t) for i, t in items], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert all(r["item_ids"] == [r["doc_id"]] for r in got.collect())
+
+
+def test_short_items(spark, awkward):
+    items = [(1, "the answer is blue"), (2, "Yes"), (3, "the ANSWER is blue"), (4, "two words"), (5, " "), (6, prose(30, 41))]
+    docs = [(1, "we know that The answer  is\nblue today"), (2, "the answer is not blue"), (3, "yes"), (4, "yesterday two wordsmiths"), (5, "two words"),
+            (6, "x " + items[5][1]), (7, None), (8, "the answer is"), (9, "words two")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.flag(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert not any(p in decontaminate.flag(awkward, bench)._jdf.queryExecution().toString() for p in PYTHON)
+    assert {d: r["item_ids"] for d, r in got.items()} == {1: [1, 3], 2: [], 3: [2], 4: [], 5: [4], 6: [6], 7: [], 8: [], 9: []}
+
+
+def test_recall_near_the_bound(spark):
+    """Of windows with a similarity of 0.75 to 0.80, which differ in most bits, next to none may be missed."""
+    r = random.Random(8)
+    items = [(i, prose(40, 5000 + i)) for i in range(30)]
+    docs, want = [], set()
+    for n in range(900):
+        i, t = items[n % 30]
+        w = t.split()
+        for j in r.sample(range(6), 2):                 # edits near both ends lose few shingles
+            w[j if r.random() < 0.5 else -1 - j] = f"odd{n}"
+        text = " ".join([prose(20, 9000 + n), *w, prose(20, 20000 + n)])
+        a = {tuple(t.split()[k:k + 5]) for k in range(36)}
+        b = {tuple(w[k:k + 5]) for k in range(36)}
+        share = len(a & b) / len(a | b)
+        if 0.75 <= share < 0.80:
+            docs.append((n, text))
+            want.add(n)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.flag(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert len(want) > 100 and got.where("contaminated").count() >= 0.999 * len(want)
