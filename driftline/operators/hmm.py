@@ -40,7 +40,9 @@ CHUNK = 1024
 #: A sequence of at most so many chunks is fitted in a batch; longer ones take the steps above in jobs.
 WHOLE = 64
 #: Rows of a batch, counted once for each model.
-TOGETHER = 1 << 17
+TOGETHER = 1 << 16
+#: Models whose time need not be folded.
+MANY = 48
 #: Chunk matrices of a task that multiplies them along their sequences.
 MATRICES = 512
 TINY = 1e-250
@@ -369,32 +371,68 @@ def _log_densities(products, members, lengths, model):
     return logb, active
 
 
-def _smooth(logb, lengths, active, model):
-    """Filtered and smoothed probabilities, what follows each row, and the log likelihoods."""
+def _smooth(logb, lengths, model):
+    """Filtered and smoothed probabilities, what follows each row, and the log likelihoods.
+
+    Time is folded into pieces that are worked through side by side, as chunks are: the product of each piece, the
+    vectors between pieces, then all pieces between theirs.  Rows behind a sequence's end have density 1, which changes
+    no vector that comes before them.
+    """
     top_t, m, k = logb.shape
+    # With many models each step of time is work enough; with few the pieces are.
+    n = top_t if m >= MANY else max(8, math.isqrt(top_t))
+    c = -(-top_t // n)
     top = logb.max(-1)
-    b = np.maximum(np.exp(logb - top[..., None]), TINY)
-    trans = model["trans"]
-    alpha, norm = np.zeros((top_t, m, k)), np.ones((top_t, m))
-    a = model["start"] * b[0]
-    for t in range(top_t):
-        n = active[t]
+    b = np.ones((c * n, m, k))
+    b[:top_t] = np.maximum(np.exp(logb - top[..., None]), TINY)
+    b = np.ascontiguousarray(b.reshape(c, n, m, k).swapaxes(0, 1))
+    trans, start = model["trans"], model["start"]
+
+    through = trans * b[0][:, :, None, :]
+    through[0] = np.eye(k) * b[0, 0][:, None, :]
+    scale = np.zeros((c, m, k))
+    for t in range(n if c > 1 else 0):
         if t:
-            a = np.matmul(a[:n, None, :], trans[:n])[:, 0] * b[t, :n]
-        total = np.maximum(a.sum(-1), TINY)
-        norm[t, :n] = total
-        a = a / total[:, None]
-        alpha[t, :n] = a
-    gamma, after = alpha.copy(), np.zeros((top_t, m, k))
+            through = np.matmul(through, trans) * b[t][:, :, None, :]
+        total = np.maximum(through.sum(-1), TINY)
+        through /= total[..., None]
+        scale += np.log(total)
+    into, out = np.empty((c, m, k)), np.ones((c, m, k))
+    into[0] = v = start
+    for j in range(c if c > 1 else 0):
+        into[j] = v
+        x = np.log(np.maximum(v, 1e-300)) + scale[j]
+        v = np.matmul(np.exp(x - x.max(-1, keepdims=True))[:, None, :], through[j])[:, 0]
+        v = v / v.sum(-1, keepdims=True)
     v = np.ones((m, k))
-    for t in range(top_t - 1, 0, -1):
-        n = active[t]
-        w = b[t, :n] * v[:n] / norm[t, :n, None]
-        after[t, :n] = w
-        v[:n] = np.matmul(trans[:n], w[:, :, None])[:, :, 0]
-        gamma[t - 1, :n] *= v[:n]
-    gamma /= np.maximum(gamma.sum(-1, keepdims=True), TINY)
+    for j in range(c - 1, -1 if c > 1 else 0, -1):
+        out[j] = v
+        x = scale[j] + np.log(np.maximum(np.matmul(through[j], v[..., None])[..., 0], 1e-300))
+        v = np.exp(x - x.max(-1, keepdims=True))
+
+    alpha, norm = np.empty((n, c, m, k)), np.empty((n, c, m))
+    a = np.matmul(into[:, :, None, :], trans)[:, :, 0] * b[0]
+    a[0] = start * b[0, 0]
+    for t in range(n):
+        if t:
+            a = np.matmul(a[:, :, None, :], trans)[:, :, 0] * b[t]
+        norm[t] = np.maximum(a.sum(-1), TINY)
+        a = a / norm[t][..., None]
+        alpha[t] = a
+    gamma, after, v = np.empty((n, c, m, k)), np.empty((n, c, m, k)), out
+    for t in range(n - 1, -1, -1):
+        both = alpha[t] * v
+        gamma[t] = both / np.maximum(both.sum(-1), TINY)[..., None]
+        w = b[t] * v
+        u = np.matmul(trans, w[..., None])[..., 0]
+        total = np.maximum(((alpha[t - 1] if t else into) * u).sum(-1), TINY)
+        after[t] = w / total[..., None]
+        v = u / np.maximum(u.max(-1), TINY)[..., None]
+    alpha, gamma, after = (x.swapaxes(0, 1).reshape(c * n, m, k)[:top_t] for x in (alpha, gamma, after))
+    norm = norm.swapaxes(0, 1).reshape(c * n, m)[:top_t]
     running = np.arange(top_t)[:, None] < lengths[None, :]
+    after = after * running[..., None]
+    after[0] = 0.0
     return alpha, gamma, after, ((np.log(norm) + top) * running).sum(0)
 
 
@@ -420,8 +458,8 @@ def _best_paths(logb, active, model):
 def _expect(products, members, lengths, model, d: int):
     """Sufficient statistics of all models, ordered as in `_log_densities`."""
     m, k = model["start"].shape
-    logb, active = _log_densities(products, members, lengths, model)
-    alpha, gamma, after, ll = _smooth(logb, lengths, active, model)
+    logb, _ = _log_densities(products, members, lengths, model)
+    alpha, gamma, after, ll = _smooth(logb, lengths, model)
     pairs = model["trans"] * np.matmul(alpha[:-1].transpose(1, 2, 0), after[1:].transpose(1, 0, 2))
     i, j = np.triu_indices(d)
     q = len(i)
@@ -457,7 +495,7 @@ def _decode_together(k: int, d: int, path_only: bool):
         model = _arrays(params.assign(kind=KINDS[0]), k, d)
         logb, active = _log_densities([_products(v) for v in x.values()], members, lengths, model)
         path = _best_paths(logb, active, model)
-        alpha, gamma = (None, None) if path_only else _smooth(logb, lengths, active, model)[:2]
+        alpha, gamma = (None, None) if path_only else _smooth(logb, lengths, model)[:2]
         blocks = {seq: np.cumsum([0, *[len(v) // d for v in rows.sort_values("blk")["x"]]]) for seq, rows in chunks.groupby("seq")}
         out = []
         for i, (model_id, seq) in enumerate(zip(params["model_id"], seqs)):
@@ -649,13 +687,25 @@ def _boundary_table(work: DataFrame, k: int, d: int, best: bool) -> DataFrame:
         run, KEY_SCHEMA + ", a_in array<double>, b_out array<double>, entry int, last int")
 
 
-def _batches(params: DataFrame, lengths: DataFrame) -> DataFrame:
-    """`params` with `batch`: models of similar length together, about TOGETHER rows in all."""
+def _batches(params: DataFrame, lengths: DataFrame):
+    """`params` with `batch`, models of similar length together, about TOGETHER rows in all; and partitions for the batches.
+
+    There are more partitions than batches, so that few share one and tasks are taken up as others end.
+    """
     sized = params.join(lengths, "seq").withColumn("_class", F.floor(F.log2("_rows") * 2))
     totals = sized.groupBy("_class").agg(F.sum("_rows").alias("n")).collect()          # a row for each factor of 1.4
-    parts = F.create_map(*[F.lit(x) for r in totals for x in (int(r["_class"]), max(1, -(-r["n"] // TOGETHER)))]) if totals else F.create_map()
-    part = F.pmod(F.xxhash64("model_id"), F.coalesce(F.try_element_at(parts, F.col("_class")), F.lit(1))) if totals else F.lit(0)
-    return sized.withColumn("batch", F.concat_ws("|", "_class", part)).drop("_class", "_rows")
+    parts = {int(r["_class"]): max(1, -(-r["n"] // TOGETHER)) for r in totals}
+    known = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]) if parts else F.lit(None).cast("map<bigint,bigint>")
+    part = F.pmod(F.xxhash64("model_id"), F.coalesce(F.try_element_at(known, F.col("_class")), F.lit(1)))
+    return sized.withColumn("batch", F.concat_ws("|", "_class", part)).drop("_class", "_rows"), max(8, 4 * sum(parts.values()))
+
+
+def _in_batches(chunks: DataFrame, models: DataFrame, partitions: int, run, schema: str) -> DataFrame:
+    """`run` over the models of each batch and the chunks of their sequences, each chunk once."""
+    where = models.select("seq", "batch").distinct().select("seq", F.col("batch").alias("batch"))
+    beside = chunks.select("seq", "blk", "x").join(where, "seq")
+    return beside.repartition(partitions, "batch").groupBy("batch").cogroup(
+        models.repartition(partitions, "batch").groupBy("batch")).applyInPandas(run, schema)
 
 
 def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig = RunConfig(),
@@ -673,13 +723,11 @@ def fit_gaussian_hmm(df: DataFrame, features, models: DataFrame, k: int, cfg: Ru
     lengths = stage(chunks.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("x") / d).cast("long").alias("_rows")), "lengths")
     starts = init if init is not None else random_init(chunks, features, models, k, cfg.min_covar, keys)
     starts = stage(starts, "starts")
-    params = stored(_batches(starts, lengths.select("seq", "_rows")))
+    params, partitions = _batches(starts, lengths.select("seq", "_rows"))
+    params = stored(params)
     long_ = stored(lengths.filter(F.col("_n") > WHOLE).select("seq"))
     brief = params.join(long_, "seq", "left_anti")
-    where = brief.select("seq", "batch").distinct().select("seq", F.col("batch").alias("batch"))
-    finished = stage(
-        chunks.select("seq", "blk", "x").join(where, "seq").groupBy("batch").cogroup(brief.groupBy("batch")).applyInPandas(
-            _fit_together(k, d, cfg.min_covar, cfg.tol, limit), PARAMETER_SCHEMA), "params")
+    finished = stage(_in_batches(chunks, brief, partitions, _fit_together(k, d, cfg.min_covar, cfg.tol, limit), PARAMETER_SCHEMA), "params")
     if long_.isEmpty():
         return finished
     chunks = stored(chunks.join(long_, "seq", "left_semi"))
@@ -768,10 +816,8 @@ def decode(df: DataFrame, features, params: DataFrame, k: int, keys=("series_id"
     output = KEY_SCHEMA + ", state array<int>" + ("" if path_only else ", smoothed array<array<double>>, filtered array<array<double>>")
 
     short = lengths.filter(F.col("_n") <= WHOLE)
-    pairs = _batches(params.join(short.select("seq", "whole"), "whole").drop("whole"), short.select("seq", "_rows"))
-    where = pairs.select("seq", "batch").distinct().select("seq", F.col("batch").alias("batch"))
-    done = chunks.select("seq", "blk", "x").join(where, "seq").groupBy("batch").cogroup(pairs.groupBy("batch")).applyInPandas(
-        _decode_together(k, d, path_only), output)
+    pairs, partitions = _batches(params.join(short.select("seq", "whole"), "whole").drop("whole"), short.select("seq", "_rows"))
+    done = _in_batches(chunks, pairs, partitions, _decode_together(k, d, path_only), output)
     long_ = stored(lengths.filter(F.col("_n") > WHOLE).select("seq"))
     if not long_.isEmpty():
         done = done.unionByName(_decode_long(base.join(long_, "seq", "left_semi"), params, k, d, path_only, output))

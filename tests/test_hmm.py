@@ -113,10 +113,11 @@ def test_batches_equal_chunks(spark, data, monkeypatch):
     _, df = data
     models, got = models_of(df.filter("series_id = 'c' OR idx < 300"), range(5)), []
     rows = df.filter("series_id = 'c' OR idx < 300")
-    for chunk, whole, together in ((1024, 64, 1 << 16), (64, 64, 700), (64, 0, 1 << 16)):
+    for chunk, whole, together in ((1024, 64, 1 << 16), (64, 64, 700), (64, 0, 1 << 16), (1024, 64, -1)):
         monkeypatch.setattr(H, "CHUNK", chunk)
         monkeypatch.setattr(H, "WHOLE", whole)
-        monkeypatch.setattr(H, "TOGETHER", together)
+        monkeypatch.setattr(H, "TOGETHER", together if together > 0 else 1 << 16)
+        monkeypatch.setattr(H, "MANY", 48 if together > 0 else 1)
         got.append(H.fit_gaussian_hmm(rows, ["x", "y"], models, K, RunConfig(), max_iter=4).toPandas().set_index("model_id").sort_index())
     for other in got[1:]:
         assert list(other.index) == list(got[0].index) and (other.kind == got[0].kind).all() and (other.iters == got[0].iters).all()
