@@ -6,7 +6,7 @@ sequence is done in three steps, so that no task ever holds a whole sequence:
 1. each chunk is summarised by a k x k matrix: how it takes a state before the chunk
    to a state at its end (summed over paths, or for the best path);
 2. the matrices of a sequence, one per chunk, are multiplied in order, which gives
-   what enters and leaves every chunk;
+   what enters and leaves every chunk; many of them are grouped into a tree first;
 3. each chunk is worked through again between its true boundaries.
 
 The results are those of the recursions over the whole sequence.  Fitting repeats the
@@ -43,8 +43,8 @@ WHOLE = 64
 TOGETHER = 1 << 16
 #: Models whose time need not be folded.
 MANY = 48
-#: Chunk matrices of a task that multiplies them along their sequences.
-MATRICES = 512
+#: Chunk matrices of a task that multiplies them along their sequences, and of a group that becomes one matrix.
+MATRICES, FAN = 512, 256
 TINY = 1e-250
 #: Kinds of covariances in the order they are tried, and the least variance of the later ones.
 KINDS = ("full", "diag", "wide")
@@ -185,16 +185,20 @@ def _transfers(k: int, d: int, best: bool):
 
 
 def _boundaries(k: int, best: bool):
+    """What enters and leaves each chunk of a run of chunks, from the matrices in order.
+
+    Of a group inside a sequence `g_in`, `g_out`, `g_entry` and `g_last` say what enters and leaves the group.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("blk")
         m = np.stack(pdf["total"].to_list()).reshape(-1, k, k)
-        n = len(m)
+        n, inside = len(m), "g_in" in pdf.columns
         into, out = np.empty((n, k)), np.empty((n, k))
-        v = np.full(k, -np.log(k))
+        v = np.log(np.maximum(pdf["g_in"].iloc[0], 1e-300)) if inside else np.full(k, -np.log(k))
         for j in range(n):
             into[j] = v - _logsum(v, 0)
             v = _logsum(into[j][:, None] + m[j], 0)
-        w = np.zeros(k)
+        w = np.log(np.maximum(pdf["g_out"].iloc[0], 1e-300)) if inside else np.zeros(k)
         for j in range(n - 1, -1, -1):
             out[j] = w - w.max()
             w = _logsum(m[j] + out[j][None, :], 1)
@@ -202,11 +206,13 @@ def _boundaries(k: int, best: bool):
         if best:
             m = np.stack(pdf["best"].to_list()).reshape(-1, k, k)
             reach, choice = np.zeros(k), np.empty((n, k), dtype=np.int32)
+            if inside:
+                reach = np.where(np.arange(k) == pdf["g_entry"].iloc[0], 0.0, -np.inf)
             for j in range(n):
                 cand = reach[:, None] + m[j]
                 choice[j] = cand.argmax(0)
                 reach = cand.max(0)
-            s = int(reach.argmax())
+            s = int(pdf["g_last"].iloc[0]) if inside else int(reach.argmax())
             for j in range(n - 1, -1, -1):
                 last[j] = s
                 entry[j] = s = int(choice[j][s])
@@ -215,6 +221,24 @@ def _boundaries(k: int, best: bool):
     return run
 
 
+def _composed(k: int, best: bool):
+    """One matrix for a group of chunks in order: summed over paths, and for the best path."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk")
+        out = pdf[["model_id", "seq"]].iloc[:1].assign(blk=pdf["grp"].iloc[0])
+        for name, join in (("total", _logsum), ("best", lambda x, axis: x.max(axis))):
+            if name == "best" and not best:
+                out[name] = [None]
+                continue
+            whole = None
+            for m in pdf[name]:
+                m = np.reshape(m, (k, k))
+                whole = m if whole is None else join(whole[:, :, None] + m[None], 1)
+            out[name] = [whole.ravel()]
+        return out
+    return run
+
+
 def _statistics(k: int, d: int):
     """Sufficient statistics, summed per model inside each batch of chunks."""
     def run(batches):
@@ -670,21 +694,39 @@ def _bounded_work(chunks: DataFrame, params: DataFrame, bounds: DataFrame) -> Da
         _packed(small, ["seq", "blk"], [*PACKED, "a_in", "b_out", "entry", "last"]), ["seq", "blk"])
 
 
+def _bucketed(rows: DataFrame, by, each, schema: str, matrices: int) -> DataFrame:
+    """`each` on the rows of every group; small groups share a task, about MATRICES matrices in each."""
+    bucket = F.pmod(F.xxhash64(*by), F.lit(max(1, -(-matrices // MATRICES))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([each(group) for _, group in pdf.groupby(list(by), sort=False)])
+
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, schema)
+
+
 def _boundary_table(work: DataFrame, k: int, d: int, best: bool) -> DataFrame:
-    """What enters and leaves every chunk of every model.
+    """What enters and leaves every chunk of every model."""
+    matrix = KEY_SCHEMA + ", total array<double>, best array<double>"
+    facts = work.agg(F.sum(F.size("model_id")), F.max("blk")).first()
+    moved = work.mapInPandas(_transfers(k, d, best), matrix)
+    return _boundaries_of(moved, k, best, facts[0] or 0, facts[1] or 0)
 
-    Short sequences share a task, about MATRICES matrices in each; a longer one has a task of its own.
-    """
-    moved = work.mapInPandas(_transfers(k, d, best), KEY_SCHEMA + ", total array<double>, best array<double>")
-    matrices = work.agg(F.sum(F.size("model_id"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("model_id", "seq"), F.lit(max(1, -(-matrices // MATRICES))))
-    each = _boundaries(k, best)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([each(rows) for _, rows in pdf.groupby(["model_id", "seq"], sort=False)])
+def _boundaries_of(moved: DataFrame, k: int, best: bool, matrices: int, last_blk: int) -> DataFrame:
+    """A tree over the chunks: groups of FAN matrices become one, and so on until a group is left; then down again.
 
-    return moved.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
-        run, KEY_SCHEMA + ", a_in array<double>, b_out array<double>, entry int, last int")
+    So no task has more than FAN matrices of a sequence, however long it is.
+    """
+    schema = KEY_SCHEMA + ", a_in array<double>, b_out array<double>, entry int, last int"
+    if last_blk < FAN:
+        return _bucketed(moved, ["model_id", "seq"], _boundaries(k, best), schema, matrices)
+    by = ["model_id", "seq", "grp"]
+    moved = stage(moved, "matrices").withColumn("grp", F.expr(f"blk div {FAN}"))
+    groups = stage(_bucketed(moved, by, _composed(k, best), KEY_SCHEMA + ", total array<double>, best array<double>", matrices), "groups")
+    above = _boundaries_of(stored(groups), k, best, -(-matrices // FAN), last_blk // FAN)
+    given = above.select("model_id", "seq", F.col("blk").alias("grp"), F.col("a_in").alias("g_in"), F.col("b_out").alias("g_out"),
+                         F.col("entry").alias("g_entry"), F.col("last").alias("g_last"))
+    return _bucketed(moved.join(given, by), by, _boundaries(k, best), schema, matrices)
 
 
 def _batches(params: DataFrame, lengths: DataFrame):

@@ -11,6 +11,8 @@ from .blocks import (attach, block_window, carry, close_blocks, day_bucket, exac
                      own_rows, position_bars, stage, with_position)
 
 CHAIN_BLOCK = 512
+#: Maps of blocks that become one map.
+CHAIN_FAN = 1024
 NEVER = 1 << 62
 
 
@@ -143,26 +145,57 @@ def first_touch_exit(df: DataFrame, cfg: RunConfig = RunConfig(), keys=("series_
 def _block_starts(maps: DataFrame, horizon: int, keys) -> DataFrame:
     """For each block, how many of its first bars are still covered by an earlier trade.
 
-    `maps` has one short array per block: entry offset -> offset into the next block.
+    `maps` has one short array per block: entry offset -> offset into the next block.  Maps of CHAIN_FAN blocks are
+    composed into one, and so on until a series has one group; the starts then come down the tree.  No task sees more
+    than CHAIN_FAN maps of a series.
     """
+    import numpy as np
     import pandas as pd
 
-    schema = ", ".join(f"{k} {maps.schema[k].dataType.simpleString()}" for k in keys) + ", _blk bigint, _start int"
+    types = ", ".join(f"{k} {maps.schema[k].dataType.simpleString()}" for k in keys)
     closed = horizon + 1
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        start, before, starts = 0, None, []
-        for blk, step in zip(pdf["_blk"], pdf["_map"]):
-            if before is not None and start != closed:
-                # Blocks without signals between the two use up the open trade.
-                start = max(0, start - CHAIN_BLOCK * (blk - before - 1))
-            starts.append(start)
-            start = closed if start == closed else int(step[start])
-            before = blk
-        return pdf[[*keys, "_blk"]].assign(_start=starts)
-
-    return maps.groupBy(*keys).applyInPandas(walk, schema)
+    def passed(start, bars: int):
+        """Offsets after `bars` bars without a signal, which use up an open trade."""
+        return np.where(start == closed, closed, np.maximum(0, start - bars))
+
+    def compose(size: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_blk")
+            group = pdf["_grp"].iloc[0]
+            now, before = np.arange(closed + 1), group * CHAIN_FAN - 1
+            for blk, step in zip(pdf["_blk"], pdf["_map"]):
+                now = np.append(step, closed)[passed(now, size * (blk - before - 1))]
+                before = blk
+            now = passed(now, size * ((group + 1) * CHAIN_FAN - 1 - before))
+            return pdf[keys].iloc[:1].assign(_blk=group, _map=[now[:-1].astype(np.int32)])
+        return run
+
+    def walk(size: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_blk")
+            start, before, starts = np.int64(pdf["_given"].iloc[0]), pdf["_grp"].iloc[0] * CHAIN_FAN - 1, []
+            for blk, step in zip(pdf["_blk"], pdf["_map"]):
+                start = int(passed(start, size * (blk - before - 1)))
+                starts.append(start)
+                start = np.int64(closed if start == closed else step[start])
+                before = blk
+            return pdf[[*keys, "_blk"]].assign(_start=starts)
+        return run
+
+    levels, size = [maps], CHAIN_BLOCK
+    last = maps.agg(F.max("_blk")).first()[0] or 0
+    while last >= CHAIN_FAN:
+        grouped = levels[-1].withColumn("_grp", F.expr(f"_blk div {CHAIN_FAN}"))
+        levels.append(stage(grouped.groupBy(*keys, "_grp").applyInPandas(compose(size), f"{types}, _blk bigint, _map array<int>"), "maps"))
+        last, size = last // CHAIN_FAN, size * CHAIN_FAN
+    given = levels[-1].select(*keys).distinct().withColumns({"_grp": F.lit(0).cast("long"), "_given": F.lit(0)})
+    for level in reversed(levels):
+        grouped = level.withColumn("_grp", F.expr(f"_blk div {CHAIN_FAN}")).join(given, [*keys, "_grp"])
+        starts = grouped.groupBy(*keys, "_grp").applyInPandas(walk(size), f"{types}, _blk bigint, _start int")
+        given = starts.withColumnsRenamed({"_blk": "_grp", "_start": "_given"})
+        size //= CHAIN_FAN
+    return starts
 
 
 def non_overlapping_trades(signals: DataFrame, horizon: int, keys=("series_id",)) -> DataFrame:

@@ -71,10 +71,14 @@ def test_fit_and_decode(spark, data, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(H, "WHOLE", 0)
         parts = H.decode(H.segments(df, None, 0), ["x", "y"], aligned, K).toPandas().sort_values(["series_id", "ts"])
+        m.setattr(H, "FAN", 2)          # and groups of chunks over several levels
+        tree = H.decode(H.segments(df, None, 0), ["x", "y"], aligned, K).toPandas().sort_values(["series_id", "ts"])
         paths = H.decode(H.segments(df, None, 0), ["x", "y"], aligned, K, path_only=True).toPandas().sort_values(["series_id", "ts"])
     one = got.sort_values(["series_id", "ts"])
     assert (parts.state.to_numpy() == one.state.to_numpy()).all() and (paths.state.to_numpy() == one.state.to_numpy()).all()
-    assert np.allclose(np.stack(parts.smoothed), np.stack(one.smoothed), atol=1e-10)
+    assert (tree.state.to_numpy() == one.state.to_numpy()).all()
+    for other in (parts, tree):
+        assert np.allclose(np.stack(other.smoothed), np.stack(one.smoothed), atol=1e-10)
 
     # The trade part is decoded on its own, with a warm-up that is not reported.
     cut = pdf.ts[300]

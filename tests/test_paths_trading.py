@@ -137,3 +137,23 @@ def test_empty_good_list_closes_the_gate(spark):
     none = df.select("super_state").limit(0)
     th = G.gate_thresholds(df, none, RunConfig())
     assert G.gate_mask(df, th).filter("gate_on").count() == 0
+
+
+def test_chain_by_tree(spark, monkeypatch):
+    """Maps composed a few at a time over several levels: the trades of a plain walk, also across blocks without signals."""
+    rng = np.random.default_rng(5)
+    horizon, rows, want = 30, [], set()
+    for s, n, share in (("dense", 900, 0.5), ("sparse", 3000, 0.01), ("open", 700, 0.3), ("one", 1, 1.0)):
+        free = 0
+        for i in np.flatnonzero(rng.random(n) < share):
+            leave = int(i + rng.integers(1, horizon + 1)) if s != "open" or i < 500 else None
+            rows.append((s, int(i), leave))
+            if free is not None and i >= free:
+                want.add((s, int(i)))
+                free = leave
+    signals = spark.createDataFrame(rows, "series_id string, idx long, exit_idx long")
+    monkeypatch.setattr(G, "CHAIN_BLOCK", 4)
+    for fan in (2, 5, 1024):
+        monkeypatch.setattr(G, "CHAIN_FAN", fan)
+        got = G.non_overlapping_trades(signals, horizon).toPandas()
+        assert set(zip(got.series_id, got.idx)) == want and len(got) == len(want)
