@@ -227,83 +227,77 @@ def carry(df: DataFrame, keys, running: dict, size: int | None = None) -> DataFr
 
 # -- ranks and quantiles ---------------------------------------------------
 
-def ranked(df: DataFrame, keys, value: str, tie: str, tie_bucket: Column,
-           cuts: int = 256, rank: str = "rank", total: str = "n") -> DataFrame:
+def _in_ranges(df: DataFrame, order, parts: int | None, name: str) -> DataFrame:
+    """`df` sorted into ranges of `order`, stored, with the number of its range (`_part`).
+
+    The ranges come from a sample and follow the size of the data, so a hot key is as many ranges as it needs.
+    """
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return stage(placed, name).withColumn("_part", F.shiftright("_id", 33))
+
+
+def ranked(df: DataFrame, keys, value: str, tie: str, rank: str = "rank", total: str = "n", parts: int | None = None) -> DataFrame:
     """Exact rank (1-based, ties in `tie` order) of every row within its key.
 
-    Approximate quantiles only decide where the rows are split; the ranks are exact.
-    Rows between two split points share a part.  A value frequent enough to be a
-    split point itself has parts of its own, divided along `tie_bucket`, so that
-    neither a long series nor a frequent value ends up in one task.
+    The rows are sorted in ranges of (key, value, tie); a row's rank is the rows of its key in earlier ranges and its
+    place in its own.  Neither a long series nor a frequent value ends up in one task, and no row is compared with a
+    list of splits.  `parts` fixes the number of ranges, which else follows the data.
     """
     keys = list(keys)
-    df = stage(df, "ranked")          # read three times below
-    probs = [i / cuts for i in range(1, cuts)]
-    splits = df.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(
-            F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(cuts * 20))
-        )).alias("_splits")
-    )
-    below = F.size(F.filter("_splits", lambda s: s < F.col(value)))
-    same = F.array_contains("_splits", F.col(value))
-    parted = attach(df, splits, keys, how="left").withColumns({
-        "_part": below * 2 + same.cast("int"),
-        "_sub": F.when(same, tie_bucket).otherwise(F.lit(0)),
-    }).drop("_splits")
+    rows = _in_ranges(df, [*keys, value, tie], parts, "ranked")
     everything = Window.partitionBy(*keys)
-    earlier = everything.orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = everything.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parted.groupBy(*keys, "_part", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_part", "_sub",
-                F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+        rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+        .select(*keys, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
                 F.sum("_n").over(everything).alias(total))
     )
-    inside = Window.partitionBy(*keys, "_part", "_sub").orderBy(value, tie)
-    return (
-        parted.join(offsets, keys + ["_part", "_sub"])
-        .withColumn(rank, F.col("_off") + F.row_number().over(inside))
-        .drop("_part", "_sub", "_off")
-    )
+    return rows.join(offsets, keys + ["_part"]).withColumn(rank, F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, cuts: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, parts: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles of `value` per key; `probs` maps name to probability.
 
-    Equal values are counted before anything is shuffled, then the counted values are
-    split at approximate quantiles.  Memory per task does not grow with a hot key.
+    Equal values are counted before anything is shuffled.  The counted values are sorted in ranges; the counts of the
+    ranges say which of them hold a wanted rank, and only those are looked at row by row.
     """
     keys = list(keys)
     grain = keys or ["_all"]
     counted = df if keys else df.withColumn("_all", F.lit(0))
-    counted = stage(counted.filter(F.col(value).isNotNull()).groupBy(*grain, value).agg(
-        F.count(F.lit(1)).alias("_cnt")), "counted")
-    points = [i / cuts for i in range(1, cuts)]
-    splits = counted.groupBy(*grain).agg(
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(cuts * 20)).alias("_splits"))
-    parted = attach(counted, splits, grain).withColumn(
-        "_part", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+    counted = counted.filter(F.col(value).isNotNull()).groupBy(*grain, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    counted = _in_ranges(counted, [*grain, value], parts, "counted")
     everything = Window.partitionBy(*grain)
     earlier = everything.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        parted.groupBy(*grain, "_part").agg(F.sum("_cnt").alias("_n"))
-        .select(*grain, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+    ranges = (
+        counted.groupBy(*grain, "_part").agg(F.sum("_cnt").alias("_n"))
+        .select(*grain, "_part", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
                 F.sum("_n").over(everything).alias("_total"))
     )
+
+    def places(p):
+        pos = (F.col("_total") - 1) * F.lit(float(p))
+        return F.floor(pos) + 1, F.ceil(pos) + 1, pos - F.floor(pos)
+
+    def holds(low, high, at):
+        return (low <= at) & (high >= at)
+
+    hit = F.lit(False)
+    for p in probs.values():
+        for at in places(p)[:2]:
+            hit = hit | holds(F.col("_off") + 1, F.col("_off") + F.col("_n"), at)
     run = Window.partitionBy(*grain, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranks = (
-        parted.join(offsets, grain + ["_part"])
+        counted.join(ranges.filter(hit).drop("_n"), grain + ["_part"])
         .withColumn("_hi", F.col("_off") + F.sum("_cnt").over(run))
         .withColumn("_lo", F.col("_hi") - F.col("_cnt") + 1)
     )
     aggs, wanted = [], F.lit(False)
     for name, p in probs.items():
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        low, high = F.floor(pos) + 1, F.ceil(pos) + 1
-        on_low, on_high = F.col("_lo").__le__(low) & (F.col("_hi") >= low), \
-            F.col("_lo").__le__(high) & (F.col("_hi") >= high)
+        low, high, frac = places(p)
+        on_low, on_high = (holds(F.col("_lo"), F.col("_hi"), at) for at in (low, high))
         wanted = wanted | on_low | on_high
         a = F.max(F.when(on_low, F.col(value)))
         b = F.max(F.when(on_high, F.col(value)))
-        frac = F.max(pos - F.floor(pos))
-        aggs.append((a + (b - a) * frac).alias(name))
+        aggs.append((a + (b - a) * F.max(frac)).alias(name))
     return ranks.filter(wanted).groupBy(*grain).agg(*aggs).drop("_all")

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_of
-from .blocks import attach, block_window, close_blocks, day_bucket, open_blocks, ranked
+from .blocks import attach, block_window, close_blocks, open_blocks, ranked
 
 
 def quantile_states(df: DataFrame, column: str, q: int = 6, out: str = "state",
                     keys=("series_id",), rows_per_day: int = 288) -> DataFrame:
     """States 0 ... q-1 by rank of `column`; NULL counts as 0, ties go by time."""
     value = df.withColumn("_v", F.coalesce(F.col(column).cast("double"), F.lit(0.0)))
-    r = ranked(value, keys, "_v", "ts", day_bucket(rows_per_day), rank="_rank", total="_n")
+    r = ranked(value, keys, "_v", "ts", rank="_rank", total="_n")
     steps = F.col("_n") - 1
     up = F.expr(f"((_rank - 1) * {q} + _n - 2) div greatest(_n - 1, 1)")
     state = F.when(steps > 0, F.greatest(up, F.lit(1)) - 1).otherwise(0)

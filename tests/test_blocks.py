@@ -52,19 +52,41 @@ def test_carry(spark):
     assert np.array_equal(got["b"], g["gap"].transform(lambda x: x.ffill().shift()), equal_nan=True)
 
 
+@pytest.mark.parametrize("parts", [None, 16])
 @pytest.mark.parametrize("share", [0.0, 0.6])
-def test_ranked_with_a_frequent_value(spark, share):
+def test_ranked_with_a_frequent_value(spark, share, parts):
     pdf = series(4000)
     pdf.loc[pdf.index % 100 < share * 100, "v"] = 0.5
     df = to_spark(spark, pdf)
-    got = back(K.ranked(df, ["series_id"], "v", "ts", K.day_bucket(288), cuts=16), "series_id", "ts")
+    got = back(K.ranked(df, ["series_id"], "v", "ts", parts=parts), "series_id", "ts")
     want = pdf.groupby("series_id")["v"].rank(method="first")
     assert (got["rank"] == want).all()
 
 
-def test_exact_quantiles(spark):
+def test_ranges_follow_the_rows(spark):
+    """Ten times the rows of one series, most of one value, are about ten times the ranges."""
+    sizes = {"spark.sql.shuffle.partitions": "600", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        counts = []
+        for n in (20000, 200000):
+            df = spark.range(n).selectExpr("'one' AS series_id", "if(id % 5 > 0, 0.0D, double(id)) AS v", "id AS ts")
+            ranges = K._in_ranges(df, ["series_id", "v", "ts"], None, "ranges").groupBy("_part").count().toPandas()["count"]
+            counts.append(len(ranges))
+            assert ranges.max() < 4 * n / len(ranges)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert counts[0] > 2 and 5 < counts[1] / counts[0] < 20
+
+
+@pytest.mark.parametrize("parts", [None, 16])
+def test_exact_quantiles(spark, parts):
     pdf = series(4000)
-    got = back(K.exact_quantiles(to_spark(spark, pdf), ["series_id"], "v", {"p": 0.65, "q": 0.35}, cuts=8), "series_id")
+    got = back(K.exact_quantiles(to_spark(spark, pdf), ["series_id"], "v", {"p": 0.65, "q": 0.35}, parts=parts), "series_id")
     want = pdf.groupby("series_id")["v"].quantile([0.65, 0.35]).unstack()
     assert np.allclose(got["p"], want[0.65]) and np.allclose(got["q"], want[0.35])
 
