@@ -110,3 +110,4 @@ class RunConfig:
     lambda_dd: float = 3.0
     lambda_low_trades: float = 0.15
     ema_alpha: float = 0.6
+    reject_fallback: bool = False       # leave out runs whose models saw their trade window

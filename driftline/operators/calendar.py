@@ -33,16 +33,26 @@ def backstep_endpoints(days: DataFrame, step: int, min_start: str | None = None,
     return out.drop("_last")
 
 
-def first_cutoff_in_month(endpoints: DataFrame, month: str, keys=("series_id",)) -> DataFrame:
-    """Latest endpoint in a yyyy-MM month, one row per series.
+# -- series that cannot take part ---------------------------------------------
+# An operator that finds nothing to work on for a series gives it a row with a text in
+# `problem`, NULL elsewhere, instead of failing the job of all series.
 
-    A series without one gets an error when its row is evaluated.
-    """
+def accepted(df: DataFrame) -> DataFrame:
+    """Rows of the series without a problem."""
+    return df.filter("problem IS NULL").drop("problem")
+
+
+def rejected(df: DataFrame, keys=("series_id",)) -> DataFrame:
+    """The other series and what is wrong with them."""
+    return df.filter("problem IS NOT NULL").select(*keys, "problem").distinct()
+
+
+def first_cutoff_in_month(endpoints: DataFrame, month: str, keys=("series_id",)) -> DataFrame:
+    """Latest endpoint in a yyyy-MM month, one row per series; a series without one has a `problem` and no cutoff."""
     hit = F.when(F.date_format("day", "yyyy-MM") == month, F.col("day"))
     hit_idx = F.when(F.date_format("day", "yyyy-MM") == month, F.col("day_idx"))
     out = endpoints.groupBy(*keys).agg(F.max(hit).alias("cutoff"), F.max(hit_idx).alias("cutoff_idx"))
-    problem = F.raise_error(F.lit(f"no endpoint falls in {month}"))
-    return out.withColumn("cutoff", F.coalesce("cutoff", problem.cast("date")))
+    return out.withColumn("problem", F.when(F.col("cutoff").isNull(), F.lit(f"no endpoint falls in {month}")))
 
 
 def walk_forward_windows(days: DataFrame, step: int, first_idx: DataFrame | None = None,
@@ -51,7 +61,8 @@ def walk_forward_windows(days: DataFrame, step: int, first_idx: DataFrame | None
 
     A cycle's cutoff is every `step`-th day from the first cutoff on, as long as a
     whole trade window of `step` days follows.  Without `first_idx` the first cutoff
-    is the earliest day on the grid counted back from the last one.
+    is the earliest day on the grid counted back from the last one; a series that has no
+    `cutoff_idx` in it has no cycles.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("day_idx")
@@ -95,11 +106,11 @@ def next_n_days_window(days: DataFrame, data_end: str, n: int = 22, keys=("serie
 
 
 def last_n_days(days: DataFrame, n: int, keys=("series_id",)) -> DataFrame:
-    """The last n days of each series; too short a history is an error."""
+    """The last n days of each series; one with too short a history has a single row, without a day and with a `problem`."""
     every = Window.partitionBy(*keys)
     total = F.count(F.lit(1)).over(every)
     d = days.withColumns({"_n": total, "_last": F.max("day_idx").over(every)})
-    d = d.withColumn("_ok", F.when(F.col("_n") < n, F.raise_error(
-        F.format_string("only %d of %d trading days", F.col("_n"), F.lit(n))).cast("boolean"))
-        .otherwise(F.col("day_idx") > F.col("_last") - n))
-    return d.filter("_ok").drop("_n", "_last", "_ok")
+    short = F.col("_n") < n
+    d = d.filter(F.when(short, F.col("day_idx") == F.col("_last")).otherwise(F.col("day_idx") > F.col("_last") - n))
+    d = d.withColumn("problem", F.when(short, F.format_string("only %d of %d trading days", F.col("_n"), F.lit(n))))
+    return d.withColumn("day", F.when(~short, F.col("day"))).drop("_n", "_last")

@@ -40,12 +40,16 @@ def forecast_features(df: DataFrame, features=FORECAST_FEATURES, keep=()) -> Dat
 
 
 def last_days_window(df: DataFrame, n: int, keys=("series_id",)) -> DataFrame:
-    """(keys, trade_start, trade_end) covering the last n days of each series."""
+    """(keys, trade_start, trade_end, problem) covering the last n days of each series.
+
+    A series with fewer days has no window but a `problem`; its rows have no split.
+    """
     keys = list(keys)
-    days = last_n_days(trading_days(df, keys=keys), n, keys).select(*keys, "day")
-    first = days.groupBy(*keys).agg(F.min("day").alias("_d0"))
-    rows = attach(df.select(*keys, "ts"), first, keys).filter(day_of() >= F.col("_d0"))
-    return rows.groupBy(*keys).agg(F.min("ts").alias("trade_start"), F.max("ts").alias("trade_end"))
+    days = last_n_days(trading_days(df, keys=keys), n, keys)
+    first = days.groupBy(*keys).agg(F.min("day").alias("_d0"), F.max("problem").alias("problem"))
+    inside = F.when(day_of() >= F.col("_d0"), F.col("ts"))
+    return attach(df.select(*keys, "ts"), first, keys).groupBy(*keys).agg(
+        F.min(inside).alias("trade_start"), F.max(inside).alias("trade_end"), F.max("problem").alias("problem"))
 
 
 def time_split(df: DataFrame, window: DataFrame, cfg: RunConfig = RunConfig(), purge_bars: int = 0,

@@ -26,7 +26,8 @@ def fit_mask(df: DataFrame, exclude_last_day: bool = True, start=None, end=None,
 
     With `end`, rows in [start, end]; else all but the last day; else all.  A series
     with fewer than `min_rows` such rows is fitted on everything it has, and says so
-    in `fit_fallback`.
+    in `fit_fallback`.  A series without any row in [start, end] says so in `problem`,
+    a column that only a date range adds.
     """
     keys = list(keys)
     facts = df.groupBy(*keys).agg(F.max(day_of()).alias("_last_day"))
@@ -40,6 +41,10 @@ def fit_mask(df: DataFrame, exclude_last_day: bool = True, start=None, end=None,
     else:
         mask = F.lit(True)
     out = out.withColumn("fit", mask).drop("_last_day")
+    if end is not None:
+        none = out.groupBy(*keys).agg(F.count_if("fit").alias("_fit"))
+        text = F.format_string("no rows from %s to %s", F.lit(str(start or "the first")), F.lit(str(end)))
+        out = attach(out, none, keys).withColumn("problem", F.when(F.col("_fit") == 0, text)).drop("_fit")
     if not min_rows:
         return out.withColumn("fit_fallback", F.lit(False))
     enough = out.groupBy(*keys).agg((F.count_if("fit") < min_rows).alias("fit_fallback"))

@@ -22,8 +22,13 @@ def drawdown_size(cfg: RunConfig):
 
 
 def candidate_tiers(evals: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
-    """Booleans `strict`, `relaxed` (drawdown not judged) and `last_resort`."""
+    """Booleans `strict`, `relaxed` (drawdown not judged) and `last_resort`.
+
+    With `reject_fallback` a run whose models were fitted on their trade window as well is none of them.
+    """
     ok = F.coalesce("engine_ok", F.lit(False))
+    if cfg.reject_fallback and "fit_fallback" in evals.columns:
+        ok = ok & ~F.coalesce("fit_fallback", F.lit(False))
     trades = F.coalesce("eval_trades", F.lit(0))
     coverage = finite("eval_gate_coverage")
     relaxed = (

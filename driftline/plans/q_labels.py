@@ -11,7 +11,7 @@ from ..operators import labels as L
 from ..operators import overlay as O
 from ..operators import paths as P
 from . import sql
-from .q_bars import daily_bars, events_bars
+from .q_bars import ENDED, daily_bars, events_bars
 from .registry import long, query, rnd, rounded, sql_rnd, sql_rounded, sql_time, time_text
 
 CFG = RunConfig()
@@ -65,6 +65,17 @@ def fit_mask(spark, folder):
     return df.select("series_id", time_text().alias("ts"), "by_day", "by_range")
 
 
+@query("fit_range_or_problem", f"""WITH {sql.bars('lineitem', None, 'all_bars')},
+bars AS (SELECT * FROM all_bars WHERE {ENDED})
+SELECT {HEAD}, ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' AS fit,
+ CASE WHEN count(*) FILTER (ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31') OVER (PARTITION BY series_id) = 0
+  THEN 'no rows from 1997-01-01 to 1997-12-31' END AS problem FROM bars""")
+def fit_range_or_problem(spark, folder):
+    """A range of dates that one series has no rows in."""
+    df = L.fit_mask(daily_bars(spark, folder, "lineitem").filter(ENDED), start="1997-01-01", end="1997-12-31")
+    return df.select("series_id", time_text().alias("ts"), "fit", "problem")
+
+
 @query("standardize", f"""WITH {STATES},
 s AS (SELECT series_id, avg("close") AS m, stddev_pop("close") AS s FROM st WHERE ts < TIMESTAMP '2000-01-01' GROUP BY 1)
 SELECT {HEAD}, {sql_rnd('("close" - m) / s', 6, 'close_z')} FROM st JOIN s USING (series_id)""")

@@ -106,7 +106,7 @@ def sweep(spark, folder):
     # The other indicators need up to 60 bars, more than the daily timeframe has.
     evals, _ = U.sweep(bars, event_windows(spark, folder), FULL, None, ITERATIONS, U.BASE_FEATURES)
     out = W.robust_score(W.candidate_tiers(evals, FULL), FULL)
-    return out.select("series_id", long("cycle_no").alias("cycle_no"), "run_id", "strict", "relaxed",
+    return out.select("series_id", long("cycle_no").alias("cycle_no"), "run_id", "strict", "relaxed", "engine_ok", "engine_err", "fit_fallback",
                       *[long(c).alias(c) for c in ("eval_trades", "eval_active_bars")],
                       *rounded(4, "eval_sharpe_daily", "eval_max_dd", "eval_gate_coverage", "robust_score"))
 

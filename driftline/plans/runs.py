@@ -98,7 +98,8 @@ def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
                parameters: dict | None = None) -> DataFrame:
     """The 30-minute table of every run: overlay, second-level state, path metrics.
 
-    The fitted parameter tables are put into `parameters` when it is given.
+    The fitted parameter tables are put into `parameters` when it is given, and `fit_fallback` of each run: whether one
+    of its models had too short a history and was fitted on all rows, those of its trade window included.
     """
     runs = stage(runs, "runs")
     cycles = runs.select(*CYCLE, "trade_start", "data_end").distinct()
@@ -131,7 +132,14 @@ def label_runs(features: DataFrame, runs: DataFrame, cfg: RunConfig = RunConfig(
     s30 = of("30m").join(who.select(*RUN, "rs_30m"), [*CYCLE, "rs_30m"]).drop("rs_30m")
     base = rows.filter("tf = '30m'").drop("tf").join(s30, [*CYCLE, "ts"])
     overlay = stage(O.build_overlay(base, bins, daily, keys=RUN), "overlay")
-    return super_regimes(overlay, cfg, RUN, max_iter, parameters=parameters)
+    parameters = {} if parameters is None else parameters
+    table = super_regimes(overlay, cfg, RUN, max_iter, parameters=parameters)
+    used = F.explode(F.array(*[F.concat_ws("|", *CYCLE, F.lit(tf), F.col(f"rs_{tf}").cast("long")) for tf in TIMEFRAMES],
+                             F.concat_ws("|", *RUN)))
+    both = fitted.select("model_id", "fit_fallback").unionByName(parameters["super_models"].select("model_id", "fit_fallback"))
+    parameters["fallbacks"] = runs.select(*RUN, used.alias("model_id")).join(both, "model_id").groupBy(*RUN).agg(
+        F.bool_or("fit_fallback").alias("fit_fallback"))
+    return table
 
 
 def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("series_id",), max_iter: int | None = None,
@@ -241,13 +249,14 @@ def sweep(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig(), n_s
         F.col("eval_end").alias("data_end")).select("*", "t.*").drop("t"), "runs")
     if features is None:
         features = feature_tables(bars, cfg, required)
-    table = label_runs(features, runs, cfg, max_iter)
+    parameters: dict = {}
+    table = label_runs(features, runs, cfg, max_iter, parameters)
     stats, equity, _, _ = forecast_runs(table, runs, cfg, pool_series=pool_series)
-    evals = runs.join(stats, list(RUN), "left").select(
+    evals = runs.join(stats, list(RUN), "left").join(parameters["fallbacks"], list(RUN), "left").select(
         *CYCLE, "sweep_i", "run_id", "rs_5m", "rs_30m", "rs_1d",
         F.col("sharpe_daily").alias("eval_sharpe_daily"), F.col("max_drawdown").alias("eval_max_dd"),
         F.col("n_trades").alias("eval_trades"), F.col("active_bars").alias("eval_active_bars"),
-        F.col("gate_coverage").alias("eval_gate_coverage"), "engine_ok", "engine_err")
+        F.col("gate_coverage").alias("eval_gate_coverage"), "engine_ok", "engine_err", "fit_fallback")
     return evals, equity
 
 

@@ -93,3 +93,30 @@ def test_one_task_fits_like_the_jobs(spark, monkeypatch):
     monkeypatch.undo()
     done = H.fit_gaussian_hmm(df, ["x", "y"], models, 2, RunConfig()).toPandas().iloc[0]
     assert done.done and 3 < done.iters < RunConfig().max_iter
+
+
+def test_fallback_runs_can_be_left_out(spark):
+    from driftline.operators import walkforward as W
+    rows = [("a", True, 1.0, 20, 90, 0.5, -0.01, None), ("b", True, 1.0, 20, 90, 0.5, -0.01, False), ("c", True, 1.0, 20, 90, 0.5, -0.01, True)]
+    evals = spark.createDataFrame(rows, "run_id string, engine_ok boolean, eval_sharpe_daily double, eval_trades long, eval_active_bars long, "
+                                        "eval_gate_coverage double, eval_max_dd double, fit_fallback boolean")
+    for reject, want in ((False, ["a", "b", "c"]), (True, ["a", "b"])):
+        got = W.candidate_tiers(evals, replace(RunConfig(), reject_fallback=reject)).filter("strict AND last_resort").collect()
+        assert sorted(r["run_id"] for r in got) == want
+
+
+def test_rejected_series(spark):
+    from driftline.operators import calendar as C
+    rows = [("long", i, f"2024-01-{i + 1:02d}") for i in range(20)] + [("short", i, f"2024-02-{i + 1:02d}") for i in range(3)]
+    days = spark.createDataFrame(rows, "series_id string, day_idx long, day string").withColumn("day", F.col("day").cast("date"))
+    last = C.last_n_days(days, 5)
+    assert [r["day_idx"] for r in C.accepted(last).orderBy("day").collect()] == [15, 16, 17, 18, 19]
+    assert [tuple(r) for r in C.rejected(last).collect()] == [("short", "only 3 of 5 trading days")]
+    cut = C.first_cutoff_in_month(C.backstep_endpoints(days, 5), "2024-01")
+    assert [(r["series_id"], r["cutoff_idx"]) for r in C.accepted(cut).collect()] == [("long", 19)]
+    assert [tuple(r) for r in C.rejected(cut).collect()] == [("short", "no endpoint falls in 2024-01")]
+    bars = days.withColumn("ts", F.col("day").cast("timestamp_ntz"))
+    window = {r["series_id"]: r for r in M.last_days_window(bars, 5).collect()}
+    assert window["short"]["trade_start"] is None and window["short"]["problem"] and window["long"]["trade_start"].day == 16
+    split = M.time_split(bars, M.last_days_window(bars, 5), replace(RunConfig(), history_start="2024-01-01 00:00:00"), rows_per_day=1)
+    assert {r["series_id"] for r in split.collect()} == {"long"}
