@@ -1,7 +1,7 @@
 """Queries without an SQL counterpart: model fitting and whole runs.
 
 They work on the whole tables and all cycles, and models are fitted until they converge. Sweeps and forests have the
-default seeds, trees and limits, and take accordingly long.
+default seeds, trees and limits. What they are made of has SQL beside it in `q_models`, `q_walk` and `q_trading`.
 """
 
 from __future__ import annotations
@@ -115,5 +115,5 @@ def sweep(spark, folder):
 def walk_forward(spark, folder):
     """All cycles and seed triplets: selection, trading of the next window, compounding."""
     bars = K.stage(events_bars(spark, folder, "5 minutes"), "bars")
-    _, curve, _ = U.walk_forward(bars, event_windows(spark, folder), FULL, None, ITERATIONS, U.BASE_FEATURES)
+    _, curve, _, _ = U.walk_forward(bars, event_windows(spark, folder), FULL, None, ITERATIONS, U.BASE_FEATURES)
     return curve.select("series_id", time_text().alias("ts"), long("cycle_no").alias("cycle_no"), *rounded(6, "eq_global"))

@@ -146,7 +146,7 @@ def trade_snapshot(spark, folder):
 def signal_inputs(spark, folder):
     """Bars with an ATR, and momentum forecasts gated by the label."""
     df = daily_states(spark, folder)
-    df = K.open_blocks(K.stage(df, "signal_in"), before=I.feature_halo(CFG), size=I.feature_block(CFG))
+    df = K.open_blocks(df, before=I.feature_halo(CFG), size=I.feature_block(CFG))
     w = K.block_window()
     df = I.add_atr(I.add_lags(df, w), w, 14).withColumn("pred", I.pct_change("close", 10, w))
     df = K.stage(K.close_blocks(df), "signal_bars")

@@ -264,8 +264,9 @@ def walk_forward(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig
                  max_iter: int | None = None, required=I.INDICATORS, pool_series: bool = False):
     """Sweep every cycle, select runs, trade them in the next window, combine and compound.
 
-    Returns (selection, global curve per series, evaluation table).  Cycles do not wait
-    for each other: the smoothed score and the compounding are windows over cycles.
+    Returns (selection, global curve per series, evaluation table, which selected runs of
+    a cycle delivered a curve).  Cycles do not wait for each other: the smoothed score and
+    the compounding are windows over cycles.
     """
     features = feature_tables(bars, cfg, required)
     windows = stage(windows, "windows")
@@ -287,4 +288,5 @@ def walk_forward(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig
     flat = W.flat_curve(bars, idle)
     whole = stage(combined.unionByName(flat), "combined")
     curve = W.stitch(W.compound_cycles(whole, by=("series_id",)), by=("series_id",))
-    return W.selection_history(picked, windows, CYCLE), curve, evals
+    debug = W.cycle_debug(picked.withColumn("member", F.format_string("LIVE%d", "place")), curves, CYCLE)
+    return W.selection_history(picked, windows, CYCLE), curve, evals, debug
