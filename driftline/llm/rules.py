@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Store, join_small, words
+from .common import Store, join_small, words
 
 COMMON = 0.005
 CLASS_LIMIT, CLASS_LEAST = 0.25, 400
@@ -74,31 +74,36 @@ def common_words(docs: DataFrame) -> DataFrame:
         _with_rest(F.coalesce(F.col("cells.n"), F.expr("cast(array() as array<bigint>)")), F.col("all_words")).alias("ref_words"))
 
 
+def _neighbours(name: str) -> Column:
+    """Those of the sorted pairs (w, i) in a column whose w stands beside them once more."""
+    def equal(x: Column, at: Column) -> Column:
+        return F.coalesce(F.get(name, at)["w"] == x["w"], F.lit(False))
+
+    return F.filter(name, lambda x, at: equal(x, at - 1) | equal(x, at + 1))
+
+
 def base_figures(d: DataFrame, *keep: str) -> DataFrame:
     """The base figures of rows with `body` (the text, never null) and `words`, beside the columns `keep`."""
     last = F.size("words") - SHINGLE + 1
     d = d.withColumn("at", F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)")))
-    # Hashes tell the many texts without a repeated window from the rest, whose windows are compared themselves:
-    # sorted, a repeated one equals a neighbour; their starts in order give the words that they cover.
+    # Hashes tell the many texts without a repeated window from the rest. There, only windows whose hash equals another's
+    # are compared themselves: sorted, a repeated one equals a neighbour; their starts in order give the words that they cover.
     room = F.greatest(last, F.lit(0))
     d = d.withColumn("ones", F.transform("words", lambda w: F.xxhash64(w)))
     d = d.withColumn("twos", F.zip_with(F.slice("ones", 1, room + 2), F.slice("ones", 2, room + 2), lambda x, y: F.xxhash64(x, y)))
     d = d.withColumn("fours", F.zip_with(F.slice("twos", 1, room), F.slice("twos", 3, room), lambda x, y: F.xxhash64(x, y)))
     d = d.withColumn("fives", F.zip_with("fours", F.slice("ones", 5, room), lambda x, y: F.xxhash64(x, y)))
     d = d.withColumn("again", F.size(F.array_distinct("fives")) < F.size("fives"))
-    d = d.withColumn("ordered", F.when(F.col("again"), F.array_sort(F.transform("at", lambda i: F.struct(
-        F.array_join(F.slice("words", i, SHINGLE), " ").alias("w"), i.alias("i"))))))
-
-    def equal(x: Column, i: Column) -> Column:
-        return F.coalesce(F.get("ordered", i)["w"] == x["w"], F.lit(False))
-
-    starts = F.array_sort(F.transform(F.filter("ordered", lambda x, i: equal(x, i - 1) | equal(x, i + 1)), lambda x: x["i"]))
+    d = d.withColumn("hashed", F.when(F.col("again"), F.sort_array(F.arrays_zip(F.col("fives").alias("w"), F.col("at").alias("i")))))
+    d = d.withColumn("ordered", F.sort_array(F.transform(_neighbours("hashed"), lambda x: F.struct(
+        F.array_join(F.slice("words", x["i"], SHINGLE), " ").alias("w"), x["i"].alias("i")))))
+    starts = F.sort_array(_neighbours("ordered")["i"])
     covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-SHINGLE).alias("last")), lambda a, i: F.struct(
         (a["n"] + F.least(F.lit(SHINGLE), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     d = d.withColumn("lines", F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.select(
         *keep, "body", "words", F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("body", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("body", SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("again"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
@@ -111,7 +116,10 @@ def judge(docs: DataFrame, store: Store | None = None) -> DataFrame:
     frequent = store.put(common_words(docs))
     d = _texts(docs).withColumn("words", words(F.col("body")))
     d = join_small(base_figures(d, "doc_id", "lang"), frequent, "lang", most=LANGUAGES)
-    d = d.withColumn("hits", F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: F.array_contains("common", w)), "  "), F.lit(" ")))
+    # Common words are short: the length rules out most others.
+    d = d.withColumn("longest", F.coalesce(F.array_max(F.transform("common", F.octet_length)), F.lit(0)))
+    d = d.withColumn("hits", F.concat(F.lit(" "), F.array_join(F.filter(
+        "words", lambda w: (F.octet_length(w) <= F.col("longest")) & F.array_contains("common", w)), "  "), F.lit(" ")))
     counts = F.transform("common", lambda w: F.floor(
         (F.length("hits") - F.length(F.replace(F.col("hits"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long"))
     size = F.length("body").cast("long")

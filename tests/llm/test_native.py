@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from driftline.llm import decontaminate, rules, secrets
+from driftline.llm.common import words
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -186,3 +187,15 @@ def test_recall_near_the_bound(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.flag(spark.createDataFrame(docs, "doc_id long, text string"), bench)
     assert len(want) > 100 and got.where("contaminated").count() >= 0.999 * len(want)
+
+
+def test_windows_with_equal_hashes_are_compared_themselves(spark):
+    """Only windows whose hash stands twice are looked at, and an equal hash alone does not make a repeat."""
+    rows = spark.sql("SELECT array(named_struct('w', 1L, 'i', 4), named_struct('w', 1L, 'i', 9), named_struct('w', 2L, 'i', 1)) AS p")
+    assert [r["i"] for r in rows.select(rules._neighbours("p").alias("o")).first()["o"]] == [4, 9]
+    text = "a b c d e f g h i j a b c d e k a b c d e f"
+    other = spark.createDataFrame([(1, text, "en"), (2, None, None), (3, "a  b\nc", "en")], "doc_id long, text string, lang string")
+    d = other.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    got = {r["doc_id"]: r for r in rules.base_figures(d.withColumn("words", words(F.col("body"))), "doc_id").collect()}
+    assert (got[1]["n_repeat_words"], got[1]["word_chars"], got[1]["n_words"]) == (6 + 5 + 6, 22, 22)
+    assert [(got[i]["n_repeat_words"], got[i]["word_chars"], got[i]["n_words"]) for i in (2, 3)] == [(0, 0, 0), (0, 3, 3)]
