@@ -577,18 +577,21 @@ def sequence_key(keys):
 def chunk_rows(df: DataFrame, features, keys=("series_id",), rows_per_day: int = 288, size: int | None = None) -> DataFrame:
     """Chunks of each sequence: the keys, seq (their text), blk, and the rows' values as flat arrays.
 
-    Rows need `ts`, and may carry `own` (false for rows that only warm up).
+    Rows need `ts`, and may carry `own` (false for rows that only warm up) and `pos`, their place in the sequence;
+    without it they are numbered here.  With `pos` an `idx` of the rows, which may be another, stays beside their times.
     """
     own = F.col("own") if "own" in df.columns else F.lit(True)
     values = F.array(*[F.col(c).cast("double") for c in features])
-    keys, size = list(keys), size or CHUNK
-    rows = df.select(*keys, sequence_key(keys).alias("seq"), "ts", own.alias("own"), values.alias("v"))
-    if getattr(df, "_staged", False):
-        rows = stored(rows)
-    rows = with_position(stage(rows, "sequence"), ["seq"], ["ts"], day_bucket(rows_per_day))
-    packed = rows.groupBy(*keys, "seq", F.expr(f"idx div {size}").alias("blk")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "ts", "own", "v"))).alias("r"))
-    return stage(packed.select(*keys, "seq", "blk", F.col("r.ts").alias("ts"), F.col("r.own").alias("own"),
+    keys, size, more = list(keys), size or CHUNK, ["idx"] if {"pos", "idx"} <= set(df.columns) else []
+    rows = df.select(*keys, sequence_key(keys).alias("seq"), "ts", own.alias("own"), values.alias("v"),
+                     *[c for c in ("pos", "idx") if "pos" in df.columns and c in df.columns])
+    if "pos" not in df.columns:
+        if getattr(df, "_staged", False):
+            rows = stored(rows)
+        rows = with_position(stage(rows, "sequence"), ["seq"], ["ts"], day_bucket(rows_per_day), "pos")
+    packed = rows.groupBy(*keys, "seq", F.expr(f"pos div {size}").alias("blk")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "ts", "own", *more, "v"))).alias("r"))
+    return stage(packed.select(*keys, "seq", "blk", *[F.col(f"r.{c}").alias(c) for c in ("ts", "own", *more)],
                                F.flatten("r.v").alias("x")), "chunks")
 
 
@@ -824,7 +827,7 @@ def segments(df: DataFrame, trade_start: DataFrame | None, warmup, keys=("series
 
     The trade part starts `warmup` rows early so that its decoding does not start cold;
     those copies are not reported.  `trade_start` has the keys and `trade_start`;
-    `warmup` is a number or a column.
+    `warmup` is a number or a column.  `pos` is a row's place in its part, from `idx`, its place in all.
     """
     if trade_start is None:
         return df.withColumns({"seg": F.lit(0), "own": F.lit(True)})
@@ -838,7 +841,9 @@ def segments(df: DataFrame, trade_start: DataFrame | None, warmup, keys=("series
     segs = F.array_compact(F.array(F.when(~F.col("_trade"), F.lit(0)),
                                    F.when(F.col("_trade") | F.coalesce(warm, F.lit(False)), F.lit(1))))
     out = df.withColumn("seg", F.explode(segs))
-    return out.withColumn("own", F.col("_trade") == (F.col("seg") == 1)).drop("_trade", "_first", "trade_start")
+    begin = F.when(F.col("seg") == 1, F.greatest(F.col("_first") - warmup, F.lit(0))).otherwise(F.lit(0))
+    out = out.withColumns({"own": F.col("_trade") == (F.col("seg") == 1), "pos": F.col("idx") - begin})
+    return out.drop("_trade", "_first", "trade_start")
 
 
 def decode(df: DataFrame, features, params: DataFrame, k: int, keys=("series_id",), rows_per_day: int = 288,
@@ -847,7 +852,7 @@ def decode(df: DataFrame, features, params: DataFrame, k: int, keys=("series_id"
 
     `df` comes from `segments`; each segment is a sequence of its own.  Returns the keys,
     ts, model_id, the state, `smoothed` and `filtered` (arrays of k); with `path_only`
-    without the probabilities.
+    without the probabilities.  Where the segments have places (`pos`), `idx` comes along.
     """
     features, d, keys = list(features), len(features), list(keys)
     chunks = chunk_rows(df, features, [*keys, "seg"], rows_per_day)
@@ -865,10 +870,11 @@ def decode(df: DataFrame, features, params: DataFrame, k: int, keys=("series_id"
         done = done.unionByName(_decode_long(base.join(long_, "seq", "left_semi"), params, k, d, path_only, output))
     each = ["state"] if path_only else ["state", "smoothed", "filtered"]
     named = done.join(chunks.drop("x"), ["seq", "blk"])
-    rows = named.select(*keys, "seg", "model_id", F.explode(F.arrays_zip("ts", "own", *each)).alias("r"))
+    more = ["idx"] if "idx" in chunks.columns else []
+    rows = named.select(*keys, "seg", "model_id", F.explode(F.arrays_zip("ts", "own", *more, *each)).alias("r"))
     return rows.filter("r.own").select(
         *keys, F.col("r.ts").alias("ts"), "model_id", F.col("r.state").alias(state),
-        *[F.col(f"r.{c}").alias(c) for c in each[1:]], "seg")
+        *[F.col(f"r.{c}").alias(c) for c in (*each[1:], *more)], "seg")
 
 
 def _decode_long(base: DataFrame, params: DataFrame, k: int, d: int, path_only: bool, output: str) -> DataFrame:

@@ -23,7 +23,7 @@ from ..operators import trading as G
 from ..operators import walkforward as W
 from ..operators.bars import resample_ohlcv
 from ..sources.writers import publish_pack
-from ..operators.blocks import attach, position_bars, stage, stored
+from ..operators.blocks import attach, day_bucket, stage, stored, with_position
 
 # Inputs of the base model, and the seed of the overlay model.
 BASE_FEATURES = ("vol_ratio", "rsi_14", "atr_14", "adx_14", "ret_1", "trend_strength")
@@ -66,14 +66,15 @@ def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig,
     """Fit, align and decode a hidden-Markov model per row of `models`.
 
     `df` has the keys, ts, trade_start and the features; returns (labels, parameters).
-    The labels carry the keys, ts, model_id, the state and the state probabilities.
+    The labels carry the keys, ts, model_id, the state, the state probabilities and idx, the place of the row.
     """
     keys, features = list(keys), list(features)
     rows = stored(stage(df, "regime_in").select(*keys, "ts", "trade_start", *features).dropna(subset=features))
-    rows = fit_rows(rows, k, least, cfg, keys)
     scaled = [f + "_z" for f in features]
-    rows = stage(L.standardize(rows, features, F.col("fit"), keys).drop(*features), "scaled")
-    fit = stored(rows.filter("fit").select(*keys, "ts", *scaled))
+    marked = L.standardize(fit_rows(rows, k, least, cfg, keys), features, F.col("fit"), keys).drop(*features)
+    # Rows to fit on are the first of their sequence, or all, so one numbering serves to fit and to decode.
+    rows = stage(with_position(marked, keys, ["ts"], day_bucket(rows_per_day), counted=rows), "scaled")
+    fit = stored(rows.filter("fit").select(*keys, "ts", F.col("idx").alias("pos"), *scaled))
     if cfg.num_inits > 1:
         inits = F.explode(F.sequence(F.lit(0), F.lit(cfg.num_inits - 1)))
         trials = models.withColumn("base_id", F.col("model_id")).withColumn("_i", inits)
@@ -87,8 +88,7 @@ def regimes(df: DataFrame, features, models: DataFrame, k: int, cfg: RunConfig,
     # The parameters say if too short a history made the fit use all rows.
     short = rows.select(H.sequence_key(keys).alias("seq"), "fit_fallback").distinct()
     params = stage(attach(H.align_states(params, k, len(features)), short, ["seq"]), "aligned")
-    placed = position_bars(stored(rows.select(*keys, "ts", "trade_start", *scaled)), rows_per_day, keys)
-    placed = stage(placed, "placed")
+    placed = stored(rows.select(*keys, "ts", "idx", "trade_start", *scaled))
     starts = placed.groupBy(*keys).agg(F.max("trade_start").alias("trade_start"))
     segs = H.segments(placed.drop("trade_start"), starts, warmup, keys)
     return H.decode(segs, scaled, params, k, keys, rows_per_day, state, path_only), params
@@ -158,7 +158,6 @@ def super_regimes(overlay: DataFrame, cfg: RunConfig = RunConfig(), keys=("serie
         parameters["super_models"] = fitted
     labels = H.posterior_metrics(labels, cfg.k_super).drop("smoothed", "filtered", "model_id", "seg")
     # Run statistics need the labels only; the wide rows join at the end.
-    labels = position_bars(labels, rows_per_day, keys)
     paths = P.path_metrics(labels, "super_state", cfg, keys)
     return stage(overlay.drop("overlay_struct", "idx").join(paths, [*keys, "ts"]), "super")
 
@@ -279,14 +278,18 @@ def walk_forward(bars: DataFrame, windows: DataFrame, cfg: RunConfig = RunConfig
     live = stage(picked.join(windows.select(*CYCLE, "cycle_id", "trade_start", "trade_end"), list(CYCLE)).select(
         *CYCLE, F.format_string("LIVE%d", "place").alias("run_id"), "rs_5m", "rs_30m", "rs_1d", "trade_start",
         "trade_end", F.col("trade_end").alias("data_end"), "place", "seed_triplet", "cycle_id"), "live")
-    table = label_runs(features, live, cfg, max_iter)
-    _, equity, _, _ = forecast_runs(table, live, cfg, pool_series=pool_series)
-    curves = equity.select(*CYCLE, F.col("run_id").alias("member"), "ts", "equity")
-    curves = stage(W.rescale_to_1(curves, [*CYCLE, "member"]), "live_curves")
-    combined = W.combine_curves(curves, rows_per_day=48, cycle=CYCLE)
-    idle = windows.join(curves.select(*CYCLE).distinct(), list(CYCLE), "left_anti")
-    flat = W.flat_curve(bars, idle)
-    whole = stage(combined.unionByName(flat), "combined")
+    if live.isEmpty():
+        # No cycle has a run to trade: there is no curve, and all windows are idle.
+        curves = stored(live.select(*CYCLE, F.col("run_id").alias("member"), F.col("trade_start").alias("ts"), F.lit(None).cast("double").alias("equity")))
+        whole = stage(W.flat_curve(bars, windows), "combined")
+    else:
+        table = label_runs(features, live, cfg, max_iter)
+        _, equity, _, _ = forecast_runs(table, live, cfg, pool_series=pool_series)
+        curves = equity.select(*CYCLE, F.col("run_id").alias("member"), "ts", "equity")
+        curves = stage(W.rescale_to_1(curves, [*CYCLE, "member"]), "live_curves")
+        combined = W.combine_curves(curves, rows_per_day=48, cycle=CYCLE)
+        idle = windows.join(curves.select(*CYCLE).distinct(), list(CYCLE), "left_anti")
+        whole = stage(combined.unionByName(W.flat_curve(bars, idle)), "combined")
     curve = W.stitch(W.compound_cycles(whole, by=("series_id",)), by=("series_id",))
     debug = W.cycle_debug(picked.withColumn("member", F.format_string("LIVE%d", "place")), curves, CYCLE)
     return W.selection_history(picked, windows, CYCLE), curve, evals, debug

@@ -74,3 +74,80 @@ def test_registered_runs_are_whole(monkeypatch):
     with pytest.raises(Stop):
         q_runs.forecast_by_state(None, None)
     assert shortened(q_runs.M.fit_per_state.call_args[0][2]) <= {"history_start", "trade_days"}
+
+
+def _bars(spark, days, series=("x",)):
+    n = days * 288
+    rng = np.random.default_rng(7)
+    parts = []
+    for name in series:
+        close = 100 * np.exp(np.cumsum(rng.normal(size=n) * 0.002))
+        parts.append(pd.DataFrame({"series_id": name, "ts": pd.date_range("2024-01-01 00:05", periods=n, freq="5min"),
+                                   "open": close, "high": close, "low": close, "close": close, "volume": 1.0}))
+    return to_spark(spark, pd.concat(parts))
+
+
+def test_cycles_without_a_selected_run_are_flat(spark, monkeypatch):
+    """No run is traded where none is selected: the curve is the flat one, and no model is fitted for it."""
+    from driftline.operators import calendar as C
+
+    bars = _bars(spark, 7)
+    windows = C.walk_forward_windows(C.trading_days(bars), 2)
+    evals = windows.select("series_id", "cycle_no").selectExpr(
+        "*", "0 AS sweep_i", "'S000' AS run_id", "1 AS rs_5m", "2 AS rs_30m", "3 AS rs_1d", "cast(null AS double) AS eval_sharpe_daily",
+        "0D AS eval_max_dd", "0L AS eval_trades", "0L AS eval_active_bars", "cast(null AS double) AS eval_gate_coverage",
+        "true AS engine_ok", "cast(null AS string) AS engine_err", "true AS fit_fallback")
+
+    def refuse(*args, **more):
+        raise AssertionError("nothing was selected")
+
+    monkeypatch.setattr(U, "sweep", lambda *args, **more: (evals, None))
+    monkeypatch.setattr(U, "feature_tables", lambda *args, **more: None)
+    monkeypatch.setattr(U, "label_runs", refuse)
+    monkeypatch.setattr(U, "forecast_runs", refuse)
+    picked, curve, _, debug = U.walk_forward(bars, windows, SMALL)
+    inside = bars.select("ts").toPandas().ts.sort_values()
+    wins = windows.toPandas()
+    times = [t for t in inside if ((wins.trade_start <= t) & (t <= wins.trade_end)).any()]
+    got = curve.toPandas().sort_values("ts")
+    assert len(wins) >= 2 and got.ts.to_list() == times and (got.eq_global == 1.0).all()
+    assert picked.count() == 0 and debug.count() == 0
+
+
+def test_regimes_number_their_rows_once(spark, monkeypatch):
+    """The places found for the scaled rows serve to fit and to decode, and come out with the labels."""
+    from driftline.config import RunConfig
+    from driftline.operators import hmm as H
+
+    written = []
+
+    def noted(stage):
+        def run(df, name="stage"):
+            if not getattr(df, "_staged", False):
+                written.append(name)
+            return stage(df, name)
+        return run
+
+    rng = np.random.default_rng(1)
+    n = 400
+    pdf = pd.concat([pd.DataFrame({"series_id": s, "ts": pd.date_range("2024-01-01", periods=n, freq="30min"),
+                                   "a": rng.normal(size=n) * (1 + np.arange(n) // 50 % 2), "b": rng.normal(size=n)}) for s in ("x", "y")])
+    cuts = F.when(F.col("series_id") == "x", F.lit("2024-01-07 12:00:00")).otherwise(F.lit("2024-01-01 05:00:00"))
+    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("trade_start", cuts.cast("timestamp_ntz"))
+    models = df.select("series_id").distinct().withColumns({"seed": F.lit(5).cast("long"), "model_id": F.col("series_id")})
+    segments = []
+    decode = H.decode
+    monkeypatch.setattr(H, "stage", noted(H.stage))
+    monkeypatch.setattr(U, "stage", noted(U.stage))
+    monkeypatch.setattr("driftline.operators.blocks.stage", noted(U.stage))
+    monkeypatch.setattr(H, "decode", lambda segs, *more: segments.append((segs, more)) or decode(segs, *more))
+    labels, _ = U.regimes(df, ("a", "b"), models, 2, RunConfig(), ["series_id"], F.lit(20), 100, 3, 48)
+    assert not {"sequence", "bars", "placed"} & set(written)
+
+    got = labels.toPandas().sort_values(["series_id", "ts"])
+    assert len(got) == 2 * n and got.idx.to_list() == 2 * list(range(n))
+    # Segments that are numbered by themselves are decoded the same, also where the warm-up is longer than the history (y).
+    segs, more = segments[0]
+    own = decode(segs.drop("pos", "idx"), *more).toPandas().sort_values(["series_id", "ts"])
+    assert own.seg.to_list() == got.seg.to_list() and own.state.to_list() == got.state.to_list()
+    assert np.allclose(np.stack(own.smoothed), np.stack(got.smoothed), atol=1e-12)
